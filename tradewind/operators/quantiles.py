@@ -54,5 +54,5 @@ def quantiles(
 
 
 def median(df: DataFrame, value: str) -> DataFrame:
-    """One row, one column `median`; no row when there is no value."""
-    return quantiles(df, value, [0.5]).select(F.col("quantile").alias("median"))
+    """One row, one column `median`; NULL when there is no value."""
+    return quantiles(df, value, [0.5]).agg(F.max("quantile").alias("median"))

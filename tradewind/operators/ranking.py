@@ -44,12 +44,14 @@ def running_totals(
     group: Sequence[str] = (),
     then: Sequence[str] = (),
     descending: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """counts plus before_<w> for each weight w: its total over the rows that sort earlier in the group.
 
-    Rows sort by `value` and, within equal values, by the columns in `then`.
+    Rows sort by `value` and, within equal values, by the columns in `then`. `stored` says that counts is
+    a table already and need not be written again.
     """
-    table = written(counts, "counts")
+    table = counts if stored else written(counts, "counts")
     cuts = _cuts(table, value)
     axis = table.withColumn("__v", F.col(value).cast("double"))
     if cuts:
@@ -89,6 +91,23 @@ def mid_rank():
     return F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)
 
 
+def global_rank(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """df plus `name`, its place 1..n by value; ties in the order of a hash of the key.
+
+    A tied value is cut by the first digits of that hash into up to 4,096 cells, so even a value that
+    nearly all rows share is never ranked in one task. Rows without a value get no place.
+    """
+    hashed = df.withColumn("__h", F.md5(F.col(key).cast("string"))).withColumn("__cell", F.substring("__h", 1, 3))
+    cells = hashed.filter(F.col(value).isNotNull()).groupBy(value, "__cell").agg(F.count("*").alias("n"))
+    placed = running_totals(cells, value, ["n"], then=["__cell"]).select(value, "__cell", "before_n")
+    inside = Window.partitionBy(value, "__cell").orderBy("__h", key)
+    return (
+        hashed.join(placed, [value, "__cell"], "left")
+        .withColumn(name, F.col("before_n") + F.row_number().over(inside))
+        .drop("__h", "__cell", "before_n")
+    )
+
+
 def rank_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve as a rank sum; ties count half."""
     positive = F.sum(F.when(F.col(label), 1).otherwise(0))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tradewind.functions.scalars import keyed_order
 
 
-def keyed_sample(df: DataFrame, n: int, by: Sequence[str], key: str, seed: int) -> DataFrame:
-    """The n rows of each group whose keyed hash is smallest; ties by key.
+def keyed_sample(df: DataFrame, n: int, by: Sequence[str], key: str, seed: int, rank: str | None = None) -> DataFrame:
+    """The n rows of each group whose keyed hash is smallest; ties by key. `rank` keeps the place.
 
     Up to the window-group-limit threshold (1,000 by default) each task keeps n rows per group before
     the shuffle, so a hot group never travels whole.
     """
     order = Window.partitionBy(*by).orderBy(keyed_order(seed, F.col(key)), key)
-    return df.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= n).drop("__rn")
+    sampled = df.withColumn(rank or "__rn", F.row_number().over(order)).filter(F.col(rank or "__rn") <= n)
+    return sampled if rank else sampled.drop("__rn")

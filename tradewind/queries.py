@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,19 @@ from pyspark.sql import functions as F
 from tradewind.functions.scalars import doubles
 from tradewind.operators.histogram import histogram
 from tradewind.operators.quantiles import quantiles
-from tradewind.plans import explore, serving
+from tradewind.operators.ranking import average_precision, rank_auc
+from tradewind.plans import experiments, explore, forecast, propensity, quality, segments, serving
 from tradewind.plans.models import INTERMEDIATE, MARTS, STAGING, Models
 from tradewind.session import tune
-from tradewind.sources import star
+from tradewind.sources import csv_files, scratch, star
+from tradewind.streaming import orders as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PIVOT_MONTHS = 48
+RUN_ID = "registered-query"
+SCORED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
+REPLAY_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 def models(spark: SparkSession, directory: str, **settings) -> Models:
@@ -88,5 +94,264 @@ def _explore() -> dict[str, Query]:
     return {name: _over_models(build) for name, build in spec.items()}
 
 
+def _quality() -> dict[str, Query]:
+    def table_of(m: Models):
+        def table(name: str) -> DataFrame:
+            return getattr(m, name) if hasattr(m, name) else getattr(m.bronze, name)
+
+        return table
+
+    spec = {
+        "dq_not_null": lambda m: quality.not_null_checks(table_of(m)),
+        "dq_unique": lambda m: quality.unique_checks(table_of(m)),
+        "dq_accepted_values": lambda m: quality.accepted_values_checks(table_of(m)),
+        "dq_relationships": lambda m: quality.relationship_checks(table_of(m)),
+        "dq_payment_positive": lambda m: quality.payment_positive(m.stg_order_payments),
+        "dq_recency": lambda m: quality.recency_non_negative(m.repeat_purchase_training),
+        "dq_label_classes": lambda m: quality.both_label_classes(m.repeat_purchase_training),
+        "dq_tenure": lambda m: quality.tenure_not_below_recency(m.repeat_purchase_training),
+        "dq_freshness": lambda m: quality.freshness(
+            m.bronze.orders, "orders", "order_purchase_timestamp", datetime(2001, 8, 3, 2, tzinfo=timezone.utc)
+        ),
+    }
+    return {name: _over_models(build) for name, build in spec.items()}
+
+
+def _experiments() -> dict[str, Query]:
+    by = ["experiment"]
+
+    def over(which: int, build: Callable[[DataFrame], DataFrame]) -> Query:
+        return lambda spark, directory: build(star.experiments(tune(spark), directory)[which])
+
+    arms = {
+        "ab_arms_proportion": lambda m: experiments.arms_proportion(m.fct_orders),
+        "ab_arms_continuous": lambda m: experiments.arms_continuous(m.fct_orders),
+        "ab_arm_summary": lambda m: experiments.arm_summary(experiments.arms_proportion(m.fct_orders))
+        .withColumn("case", F.lit("proportion"))
+        .unionByName(
+            experiments.arm_summary(experiments.arms_continuous(m.fct_orders)).withColumn("case", F.lit("continuous"))
+        ),
+    }
+    sizes = "recommended_sample_size"
+    return {
+        **{name: _over_models(build) for name, build in arms.items()},
+        "ab_proportion": over(
+            1,
+            lambda e: _rounded(
+                experiments.proportion_test(e, by).select(
+                    *by, "n_control", "n_variant", "statistic", "p_value", "ci_low", "ci_high"
+                ),
+                6, "statistic", "p_value", "ci_low", "ci_high",
+            ),
+        ),
+        "ab_welch": over(
+            0,
+            lambda e: _rounded(
+                experiments.welch_test(e, by).select(
+                    *by, "n_control", "n_variant", "statistic", "df", "p_value", "ci_low", "ci_high"
+                ),
+                6, "statistic", "df", "p_value", "ci_low", "ci_high",
+            ),
+        ),
+        "ab_mannwhitney": over(
+            0, lambda e: _rounded(experiments.mann_whitney(experiments.arm_counts(e, by), by), 6, "p_value")
+        ),
+        "ab_normality": over(0, lambda e: experiments.normality(e, by)),
+        "ab_bootstrap": over(
+            0, lambda e: experiments.bootstrap_interval(experiments.arm_counts(e, by), "value", by, 0.05)
+        ),
+        "ab_sample_size": lambda spark, directory: over(
+            0, lambda e: experiments.sample_sizes(e, by, "continuous").withColumn("metric", F.lit("continuous"))
+        )(spark, directory).unionByName(
+            over(
+                1,
+                lambda e: experiments.sample_sizes(e, by, "proportion")
+                .withColumn("experiment", F.col("experiment").cast("string"))
+                .withColumn("metric", F.lit("proportion")),
+            )(spark, directory)
+        ).select("metric", *by, "n_control", "n_variant", sizes),
+        "ab_test": over(0, lambda e: experiments.ab_test(e, by, "continuous")),
+        "ab_test_proportion": over(1, lambda e: experiments.ab_test(e, by, "proportion")),
+    }
+
+
+def _banded(m: Models) -> DataFrame:
+    """Customers with RFM scores and five clusters cut from the score: a clustering SQL can repeat."""
+    scored = segments.rfm_scores(segments.rfm_base(m.dim_customers))
+    band = F.least(F.lit(4), F.expr("cast(rfm_score - 3 as int) div 3")).cast("int")
+    return segments.with_features(scored).withColumn("cluster", band)
+
+
+def _band_centers(banded: DataFrame) -> DataFrame:
+    means = [F.round(F.avg(c), 6).alias(c) for c in segments.FEATURES]
+    return banded.groupBy("cluster").agg(*means)
+
+
+def _banded_segments(m: Models) -> DataFrame:
+    banded = scratch.written(_banded(m), "banded")
+    return segments.segment_rows(banded, segments.label_segments(_band_centers(banded)), RUN_ID, SCORED_AT)
+
+
+def _segments() -> dict[str, Query]:
+    spec = {
+        "rfm_quintiles": lambda m: segments.rfm_scores(segments.rfm_base(m.dim_customers)).select(
+            "customer_unique_id", "r_score", "f_score", "m_score"
+        ),
+        "rfm_score": lambda m: segments.rfm_scores(segments.rfm_base(m.dim_customers)).select(
+            "customer_unique_id", "rfm_score"
+        ),
+        "label_segments": lambda m: segments.label_segments(_band_centers(_banded(m))),
+        "segment_summary": lambda m: serving.segment_summary(_banded_segments(m)),
+        "silhouette_sweep": lambda m: segments.silhouette_sweep(m.dim_customers),
+        "customer_segments": lambda m: segments.customer_segments(m.dim_customers, RUN_ID, SCORED_AT),
+    }
+    return {name: _over_models(build) for name, build in spec.items()}
+
+
+def _simple_scores(training: DataFrame) -> DataFrame:
+    """A score SQL can repeat digit by digit, for the readers and metrics that take any scores."""
+    f, r = F.col("frequency").cast("double"), F.col("recency_at_T").cast("double")
+    return training.select(
+        "customer_unique_id", "will_repeat", (f / (f + 1.0 + r / 60.0)).alias("repeat_probability")
+    ).withColumn("repeat_prediction", F.col("repeat_probability") >= propensity.THRESHOLD)
+
+
+def _propensity() -> dict[str, Query]:
+    def scores(m: Models) -> DataFrame:
+        return _simple_scores(m.repeat_purchase_training)
+
+    def counts(m: Models) -> DataFrame:
+        return serving.confusion_counts(scores(m).drop("will_repeat"), m.repeat_purchase_training)
+
+    def split(m: Models) -> DataFrame:
+        return propensity.split(m.repeat_purchase_training)
+
+    def features(m: Models) -> DataFrame:
+        stored = scratch.written(split(m), "training")
+        return propensity.features(stored, propensity.review_median(stored))
+
+    def trained(m: Models):
+        prepared = propensity.prepare(m.repeat_purchase_training)
+        return prepared, propensity.fit(prepared)
+
+    def predicted(m: Models) -> DataFrame:
+        prepared, model = trained(m)
+        return propensity.predict(model, prepared)
+
+    spec = {
+        "propensity_split": lambda m: split(m).select("customer_unique_id", "will_repeat", "is_train"),
+        "propensity_features": features,
+        "propensity_weights": lambda m: propensity.class_weights(split(m)),
+        "score_histogram": lambda m: histogram(scores(m), "repeat_probability", 50),
+        "threshold_sweep": lambda m: serving.threshold_sweep(scores(m)),
+        "high_propensity": lambda m: serving.high_propensity(scores(m), m.dim_customers),
+        "confusion_counts": counts,
+        "confusion_metrics": lambda m: serving.confusion_metrics(counts(m)),
+        "roc_auc": lambda m: _rounded(rank_auc(scores(m), "repeat_probability", "will_repeat"), 9, "roc_auc"),
+        "average_precision": lambda m: _rounded(
+            average_precision(scores(m), "repeat_probability", "will_repeat"), 9, "average_precision"
+        ),
+        "repeat_scores": lambda m: propensity.score_rows(predicted(m), RUN_ID, SCORED_AT),
+        "propensity_report": lambda m: propensity.report(scratch.written(predicted(m), "predicted")),
+        "propensity_importance": lambda m: serving.feature_importance(
+            propensity.importance_rows(trained(m)[1], m.repeat_purchase_training, RUN_ID, SCORED_AT)
+        ),
+    }
+    return {name: _over_models(build) for name, build in spec.items()}
+
+
+def _forecast() -> dict[str, Query]:
+    def weekly(m: Models) -> DataFrame:
+        table = serving.weekly_demand(m.stg_order_items, m.fct_orders, m.dim_products)
+        return scratch.written(table, "weekly")  # small, read several times
+
+    def held_out(m: Models) -> DataFrame:
+        return forecast.holdout_split(forecast.eligible_series(forecast.only_top(weekly(m))))
+
+    def trend(m: Models) -> DataFrame:
+        return forecast.regression_future(held_out(m), order=0)
+
+    def overlay(m: Models) -> DataFrame:
+        actuals = weekly(m)
+        split = forecast.holdout_split(forecast.eligible_series(forecast.only_top(actuals)))
+        return serving.forecast_overlay(actuals, forecast.regression_future(split, order=0))
+
+    bounds = ["yhat", "yhat_lower", "yhat_upper"]
+    spec = {
+        "top_categories": lambda m: forecast.top_categories(weekly(m)),
+        "eligible_series": lambda m: forecast.eligible_series(weekly(m)),
+        "eligible_series_filled": lambda m: forecast.eligible_series(weekly(m), gaps=True),
+        "holdout_split": held_out,
+        "demand_trend": lambda m: _rounded(trend(m), 4, *bounds),
+        "forecast_metrics": lambda m: forecast.forecast_metrics(forecast.regression_holdout(held_out(m), order=0)),
+        "forecast_summary": lambda m: _rounded(serving.forecast_summary(trend(m)), 4, "avg_weekly_orders"),
+        "forecast_overlay": lambda m: _rounded(overlay(m), 4, "value", "yhat_lower", "yhat_upper"),
+        "demand_forecast": lambda m: forecast.demand_forecasts(
+            forecast.regression_future(held_out(m)), RUN_ID, SCORED_AT
+        ),
+        "demand_forecast_hw": lambda m: forecast.demand_forecasts(
+            forecast.smoothing_future(held_out(m)), RUN_ID, SCORED_AT
+        ),
+        "forecast_metrics_seasonal": lambda m: forecast.forecast_metrics(forecast.regression_holdout(held_out(m))),
+        "forecast_metrics_hw": lambda m: forecast.forecast_metrics(forecast.smoothing_holdout(held_out(m))),
+    }
+    return {name: _over_models(build) for name, build in spec.items()}
+
+
+EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def _events_json(spark: SparkSession, directory: str) -> DataFrame:
+    return stream.to_events(star.read_table(tune(spark), directory, "events"), "event_id")
+
+
+def _stream_orders(spark: SparkSession, directory: str) -> DataFrame:
+    """The event table published as JSON text files, then loaded by the streaming job."""
+    messages, target, dead, checkpoint = (
+        scratch.new_path(tune(spark), n) for n in ("messages", "events", "rejected", "progress")
+    )
+    _events_json(spark, directory).select("value").write.text(messages)
+    schema = spark.createDataFrame([], EVENT).schema
+    stream.load(stream.text_folder(spark, messages), schema, target, dead, checkpoint)
+    loaded = spark.read.schema(schema).parquet(target)
+    return loaded.withColumn("k", F.get_json_object("props", "$.k").cast("int")).drop("props")
+
+
+def _replay(spark: SparkSession, directory: str) -> DataFrame:
+    orders = star.bronze(tune(spark), directory).orders.select("order_id", "order_status", "order_purchase_timestamp")
+    return stream.replayed(orders, "order_purchase_timestamp", REPLAY_START)
+
+
+def _ingest_csv(spark: SparkSession, directory: str) -> DataFrame:
+    """The reviews as quoted multi-line CSV files, read back through the landing job's reader."""
+    reviews = star.bronze(tune(spark), directory).order_reviews
+    text = F.concat(F.lit('first line\n"quoted", line of '), F.col("review_id"))
+    path = scratch.new_path(spark, "reviews-csv")
+    (
+        reviews.withColumn("review_comment_message", text)
+        .withColumn("review_comment_title", F.lit(None).cast("string"))
+        .select(
+            "review_id", F.col("order_id").cast("string").alias("order_id"), "review_score", "review_comment_title",
+            "review_comment_message",
+            *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("review_creation_date", "review_answer_timestamp")],
+        )
+        .write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    )
+    return csv_files.good_rows(csv_files.read_csv(spark, path, "order_reviews"))
+
+
 def queries() -> dict[str, Query]:
-    return {**_tables(), **_serving(), **_explore()}
+    return {
+        **_tables(),
+        **_serving(),
+        **_explore(),
+        **_quality(),
+        **_experiments(),
+        **_segments(),
+        **_propensity(),
+        **_forecast(),
+        "events_json": _events_json,
+        "stream_orders": _stream_orders,
+        "replay_timestamps": _replay,
+        "ingest_csv": _ingest_csv,
+    }
