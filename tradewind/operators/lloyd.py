@@ -1,0 +1,107 @@
+"""k-means for many starts, and many k, in shared passes over the data.
+
+Each pass assigns every row to its nearest centre under all models at once and returns sums per
+(model, cluster): a few hundred rows. Ten restarts of six values of k so cost as many passes as the
+slowest of them, not the sum. Starts are spread out (k-means++) on a bounded, repeatable sample.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradewind.functions.scalars import keyed_order
+
+SAMPLE = 2_000
+MAX_PASSES = 100
+TOLERANCE = 1e-4  # squared movement of all centres; columns are expected to have unit variance
+
+
+def _spread_starts(points: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    centers = [points[random.integers(len(points))]]
+    while len(centers) < k:
+        gap = np.min([((points - c) ** 2).sum(axis=1) for c in centers], axis=0)
+        total = gap.sum()
+        at = random.choice(len(points), p=gap / total) if total > 0 else random.integers(len(points))
+        centers.append(points[at])
+    return np.array(centers)
+
+
+def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and squared distance to the nearest centre; ties go to the lower index."""
+    squared = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    index = squared.argmin(axis=1)
+    return index, squared[np.arange(len(points)), index]
+
+
+def _pass(table: DataFrame, columns: Sequence[str], models: dict[int, np.ndarray]) -> pd.DataFrame:
+    """One job: per (model, cluster) the row count, the coordinate sums and the squared error."""
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            points, rows = batch.to_numpy(dtype=float), []
+            for model, centers in models.items():
+                index, error = nearest(points, centers)
+                n = np.bincount(index, minlength=len(centers))
+                cost = np.bincount(index, weights=error, minlength=len(centers))
+                sums = [np.bincount(index, weights=points[:, d], minlength=len(centers)) for d in range(points.shape[1])]
+                rows += [
+                    (model, c, int(n[c]), float(cost[c]), *[float(s[c]) for s in sums]) for c in np.flatnonzero(n)
+                ]
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["model", "cluster", "n", "cost", *[f"s{d}" for d in range(len(columns))]]
+    schema = "model int, cluster int, n bigint, cost double, " + ", ".join(f"s{d} double" for d in range(len(columns)))
+    partial = table.select(*columns).mapInPandas(assign, schema)
+    return partial.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in names[2:]]).toPandas()
+
+
+def kmeans(
+    table: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int], restarts: int, seed: int
+) -> dict[int, tuple[np.ndarray, float]]:
+    """For each k the centres and cost of its cheapest start. `table` is read once per pass."""
+    sample = (
+        table.select(*columns, keyed_order(seed, F.col(key)).alias("__h"), key).orderBy("__h", key).limit(SAMPLE)
+        .select(*columns).toPandas().to_numpy(dtype=float)
+    )
+    random = np.random.default_rng(seed)
+    size = {i: k for i, k in enumerate(k for k in ks for _ in range(restarts))}
+    centers = {i: _spread_starts(sample, k, random) for i, k in size.items()}
+    cost: dict[int, float] = {}
+    moving = dict(centers)
+    for _ in range(MAX_PASSES):
+        sums = _pass(table, columns, moving)
+        still = {}
+        for model, rows in sums.groupby("model"):
+            moved = moving[model].copy()
+            at = rows["cluster"].to_numpy()
+            moved[at] = rows[[f"s{d}" for d in range(len(columns))]].to_numpy() / rows[["n"]].to_numpy()
+            cost[model] = float(rows["cost"].sum())
+            shift = float(((moved - moving[model]) ** 2).sum())
+            centers[model] = moved
+            if shift > TOLERANCE:
+                still[model] = moved
+        moving = still
+        if not moving:
+            break
+    best = {}
+    for model, k in size.items():
+        if k not in best or cost[model] < best[k][1]:
+            best[k] = (centers[model], cost[model])
+    return best
+
+
+def assign(table: DataFrame, columns: Sequence[str], centers: np.ndarray, name: str) -> DataFrame:
+    """table plus the index of the nearest centre, computed in the JVM."""
+    distances = [
+        F.struct(
+            sum(((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(columns, center)), F.lit(0.0)).alias("d"),
+            F.lit(i).alias("i"),
+        )
+        for i, center in enumerate(centers)
+    ]
+    return table.withColumn(name, F.least(*distances)["i"])

@@ -29,9 +29,9 @@ def build(
         getattr(models, name).createOrReplaceTempView(f"{silver}_{name}")
     for name in ("int_orders_enriched", "int_customer_orders"):
         replace_table(getattr(models, name), f"{silver}.{name}")
-        models.__dict__[name] = spark.table(f"{silver}.{name}")  # later models read the table
+        models.store(name, spark.table(f"{silver}.{name}"))  # later models read the table
     for name in MARTS:
-        models.__dict__[name] = written(getattr(models, name), name)
+        models.store(name, written(getattr(models, name), name))
     if check:
         quality.enforce(all_checks(models))
     for name in MARTS:

@@ -30,6 +30,10 @@ class Models:
         self.snapshot_date = snapshot_date
         self.horizon_days = horizon_days
 
+    def store(self, name: str, table: DataFrame) -> None:
+        """Let everything built from now on read `table` where it would compute the model `name`."""
+        self.__dict__[name] = table
+
     @cached_property
     def stg_orders(self) -> DataFrame:
         return staging.stg_orders(self.bronze.orders)

@@ -38,6 +38,7 @@ SEED = 42
 TRAIN_PERCENT = 80
 ROUNDS = 200
 THRESHOLD = 0.5
+ROWS_PER_PARTITION = 100_000
 MODEL_VERSION = "gbt_v1"
 
 
@@ -108,7 +109,11 @@ def fit(prepared: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> GBTClass
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=5, stepSize=0.05,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
-    return trees.fit(_vectors(prepared.filter("is_train")))
+    train = _vectors(prepared.filter("is_train")).select("features", "label", "weight")
+    # Boosting runs over a thousand short jobs, so partitions should be full ones: a few rows spread
+    # over many tasks cost more to schedule than to read.
+    parts = max(1, -(-train.count() // ROWS_PER_PARTITION))
+    return trees.fit(train.coalesce(parts))
 
 
 def predict(model: GBTClassificationModel, prepared: DataFrame) -> DataFrame:

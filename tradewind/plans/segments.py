@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.operators.lloyd import assign, kmeans
 from tradewind.operators.quantiles import quantiles
 from tradewind.operators.ranking import global_rank
 from tradewind.sources.scratch import written
@@ -89,41 +87,46 @@ def with_features(base: DataFrame) -> DataFrame:
     )
 
 
-def standardized(base: DataFrame) -> tuple[DataFrame, StandardScalerModel]:
-    filled = with_features(base).withColumn("__recency", F.coalesce("recency_days", F.lit(0.0)))
-    vectors = VectorAssembler(inputCols=["__recency", *FEATURES[1:]], outputCol="__raw").transform(filled)
-    scaler = StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True).fit(vectors)
-    return scaler.transform(vectors).drop("__raw", "__recency"), scaler
+def scaling(base: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and spread of each feature: six numbers. A feature without spread is only centred."""
+    one = with_features(base).agg(
+        *[F.avg(F.coalesce(c, F.lit(0.0))).alias(f"m_{c}") for c in FEATURES],
+        *[F.stddev_pop(F.coalesce(c, F.lit(0.0))).alias(f"s_{c}") for c in FEATURES],
+    ).first()
+    return {c: (one[f"m_{c}"] or 0.0, one[f"s_{c}"] or 1.0) for c in FEATURES}
 
 
-def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallel: int = 4) -> KMeansModel:
-    """The cheapest of several k-means fits; the fits share the cluster like cross-validation folds."""
+def standardized(base: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
+    """base plus z_<feature>, written once: every k-means pass reads it."""
+    z = {f"z_{c}": (F.coalesce(c, F.lit(0.0)) - mean) / spread for c, (mean, spread) in scale.items()}
+    return written(with_features(base).withColumns(z), "standardized")
 
-    def fit(offset: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + offset, maxIter=100, featuresCol="features").fit(vectors)
 
-    with ThreadPool(parallel) as pool:
-        models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+Z_COLUMNS = [f"z_{c}" for c in FEATURES]
 
 
 def silhouette_sweep(customers: DataFrame, ks=K_RANGE, restarts: int = RESTARTS) -> DataFrame:
-    """Mean silhouette (squared Euclidean, every row) for each number of clusters."""
-    vectors = standardized(rfm_base(customers))[0].select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    """Mean silhouette (squared Euclidean, every row) and cost for each number of clusters.
+
+    All restarts of all k share their passes over the customers.
+    """
+    base = rfm_base(customers)
+    table = standardized(base, scaling(base))
+    best = kmeans(table, Z_COLUMNS, "customer_unique_id", ks, restarts, SEED)
+    points = VectorAssembler(inputCols=Z_COLUMNS, outputCol="features").transform(table)
     evaluator = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     rows = []
-    for k in ks:
-        model = best_kmeans(vectors, k, restarts)
-        rows.append((k, float(evaluator.evaluate(model.transform(vectors))), float(model.summary.trainingCost)))
-    vectors.unpersist()
+    for k, (centers, cost) in sorted(best.items()):
+        assigned = assign(points, Z_COLUMNS, centers, "prediction").select("features", "prediction")
+        rows.append((k, float(evaluator.evaluate(assigned)), cost))
     return customers.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
 
 
-def centroids(model: KMeansModel, scaler: StandardScalerModel, like: DataFrame) -> DataFrame:
+def centroids(centers, scale: dict[str, tuple[float, float]], like: DataFrame) -> DataFrame:
     """One row per cluster in feature units: days, log order count, log spend."""
     rows = [
-        (i, *[float(c * s + m) for c, s, m in zip(center, scaler.std, scaler.mean)])
-        for i, center in enumerate(model.clusterCenters())
+        (i, *[float(z) * spread + mean for z, (mean, spread) in zip(center, scale.values())])
+        for i, center in enumerate(centers)
     ]
     return like.sparkSession.createDataFrame(rows, "cluster int, recency_days double, log_frequency double, log_monetary double")
 
@@ -175,10 +178,8 @@ def customer_segments(
     customers: DataFrame, run_id: str, scored_at: datetime, k: int = K_FINAL, restarts: int = RESTARTS
 ) -> DataFrame:
     base = rfm_base(customers)
-    vectors, scaler = standardized(written(rfm_scores(base), "rfm-scores"))
-    cached = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    model = best_kmeans(cached, k, restarts)
-    cached.unpersist()
-    model.setPredictionCol("cluster")
-    labels = label_segments(centroids(model, scaler, base))
-    return segment_rows(model.transform(vectors), labels, run_id, scored_at)
+    scale = scaling(base)
+    table = standardized(rfm_scores(base), scale)
+    centers, _ = kmeans(table, Z_COLUMNS, "customer_unique_id", [k], restarts, SEED)[k]
+    labels = label_segments(centroids(centers, scale, base))
+    return segment_rows(assign(table, Z_COLUMNS, centers, "cluster"), labels, run_id, scored_at)

@@ -101,11 +101,19 @@ def _quality() -> dict[str, Query]:
 
         return table
 
+    def built(m: Models, *names: str):
+        """table_of with the named models written once, as in a build, because many checks read them."""
+        for name in names:
+            m.store(name, scratch.written(getattr(m, name), name))
+        return table_of(m)
+
     spec = {
-        "dq_not_null": lambda m: quality.not_null_checks(table_of(m)),
-        "dq_unique": lambda m: quality.unique_checks(table_of(m)),
+        "dq_not_null": lambda m: quality.not_null_checks(
+            built(m, "stg_order_payments", "int_orders_enriched", "int_customer_orders", "fct_orders")
+        ),
+        "dq_unique": lambda m: quality.unique_checks(built(m, "int_orders_enriched", "fct_orders")),
         "dq_accepted_values": lambda m: quality.accepted_values_checks(table_of(m)),
-        "dq_relationships": lambda m: quality.relationship_checks(table_of(m)),
+        "dq_relationships": lambda m: quality.relationship_checks(built(m, "fct_orders")),
         "dq_payment_positive": lambda m: quality.payment_positive(m.stg_order_payments),
         "dq_recency": lambda m: quality.recency_non_negative(m.repeat_purchase_training),
         "dq_label_classes": lambda m: quality.both_label_classes(m.repeat_purchase_training),
@@ -171,7 +179,12 @@ def _experiments() -> dict[str, Query]:
             )(spark, directory)
         ).select("metric", *by, "n_control", "n_variant", sizes),
         "ab_test": over(0, lambda e: experiments.ab_test(e, by, "continuous")),
-        "ab_test_proportion": over(1, lambda e: experiments.ab_test(e, by, "proportion")),
+        "ab_test_proportion": over(
+            1,
+            lambda e: _rounded(
+                experiments.ab_test(e, by, "proportion"), 6, "statistic", "p_value", "ci_low", "ci_high"
+            ),
+        ),
     }
 
 
@@ -216,6 +229,18 @@ def _simple_scores(training: DataFrame) -> DataFrame:
     ).withColumn("repeat_prediction", F.col("repeat_probability") >= propensity.THRESHOLD)
 
 
+_MODELS: dict = {}
+
+
+def _trained(spark: SparkSession, directory: str):
+    """(prepared features, model): one training job per session and directory feeds its three tables."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _MODELS:
+        prepared = propensity.prepare(models(spark, directory).repeat_purchase_training)
+        _MODELS[key] = prepared, propensity.fit(prepared)
+    return _MODELS[key]
+
+
 def _propensity() -> dict[str, Query]:
     def scores(m: Models) -> DataFrame:
         return _simple_scores(m.repeat_purchase_training)
@@ -230,12 +255,8 @@ def _propensity() -> dict[str, Query]:
         stored = scratch.written(split(m), "training")
         return propensity.features(stored, propensity.review_median(stored))
 
-    def trained(m: Models):
-        prepared = propensity.prepare(m.repeat_purchase_training)
-        return prepared, propensity.fit(prepared)
-
-    def predicted(m: Models) -> DataFrame:
-        prepared, model = trained(m)
+    def predicted(spark: SparkSession, directory: str) -> DataFrame:
+        prepared, model = _trained(spark, directory)
         return propensity.predict(model, prepared)
 
     spec = {
@@ -251,13 +272,19 @@ def _propensity() -> dict[str, Query]:
         "average_precision": lambda m: _rounded(
             average_precision(scores(m), "repeat_probability", "will_repeat"), 9, "average_precision"
         ),
-        "repeat_scores": lambda m: propensity.score_rows(predicted(m), RUN_ID, SCORED_AT),
-        "propensity_report": lambda m: propensity.report(scratch.written(predicted(m), "predicted")),
-        "propensity_importance": lambda m: serving.feature_importance(
-            propensity.importance_rows(trained(m)[1], m.repeat_purchase_training, RUN_ID, SCORED_AT)
+    }
+    return {
+        **{name: _over_models(build) for name, build in spec.items()},
+        "repeat_scores": lambda spark, directory: propensity.score_rows(
+            predicted(spark, directory), RUN_ID, SCORED_AT
+        ),
+        "propensity_report": lambda spark, directory: propensity.report(
+            scratch.written(predicted(spark, directory), "predicted")
+        ),
+        "propensity_importance": lambda spark, directory: serving.feature_importance(
+            propensity.importance_rows(*reversed(_trained(spark, directory)), RUN_ID, SCORED_AT)
         ),
     }
-    return {name: _over_models(build) for name, build in spec.items()}
 
 
 def _forecast() -> dict[str, Query]:
