@@ -175,7 +175,7 @@ def _explore() -> dict[str, str]:
 
 
 # Standard normal quantiles at 0.975 and 0.8.
-Z_975, Z_800 = "1.959963984540054", "0.8416212335729143"
+Z_975, Z_800 = "CAST(1.959963984540054 AS DOUBLE)", "CAST(0.8416212335729143 AS DOUBLE)"
 
 
 def _physical(name: str) -> str:

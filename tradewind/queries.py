@@ -26,8 +26,15 @@ SCORED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 REPLAY_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
+_GRAPHS: dict = {}
+
+
 def models(spark: SparkSession, directory: str, **settings) -> Models:
-    return Models(star.bronze(tune(spark), directory), **settings)
+    """The lazy model graph over a directory; its DataFrames are plans, so queries of a session share them."""
+    key = (spark.sparkContext.applicationId, id(spark), directory, *sorted(settings.items()))
+    if key not in _GRAPHS:
+        _GRAPHS[key] = Models(star.bronze(tune(spark), directory), **settings)
+    return _GRAPHS[key]
 
 
 def _over_models(build: Callable[[Models], DataFrame], **settings) -> Query:
@@ -103,9 +110,10 @@ def _quality() -> dict[str, Query]:
 
     def built(m: Models, *names: str):
         """table_of with the named models written once, as in a build, because many checks read them."""
+        own = Models(m.bronze)
         for name in names:
-            m.store(name, scratch.written(getattr(m, name), name))
-        return table_of(m)
+            own.store(name, scratch.written(getattr(own, name), name))
+        return table_of(own)
 
     spec = {
         "dq_not_null": lambda m: quality.not_null_checks(
