@@ -28,9 +28,15 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """facts joined to lookup (unique on key, left or inner), hot and NULL keys of facts spread out."""
-    hot = F.broadcast(hot_keys(facts, key))
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", keys_from: DataFrame | None = None
+) -> DataFrame:
+    """facts joined to lookup (unique on key, left or inner), hot and NULL keys of facts spread out.
+
+    keys_from: a table to look for hot keys in when facts is costly to compute, usually the raw table
+    its key comes from; then the sketch is one scan of one column.
+    """
+    hot = F.broadcast(hot_keys(facts if keys_from is None else keys_from, key))  # at most 1/SHARE rows
     spread = F.col("__hot") | F.col(key).isNull()
     salted_facts = (
         facts.join(hot, key, "left")

@@ -80,7 +80,8 @@ def dim_customers(customer_orders: DataFrame, customers: DataFrame, geo: DataFra
         F.col("lng").alias("customer_lng"),
     )
     return lookup_join(
-        customer_orders.join(address, "customer_unique_id", "left"), points, "customer_zip_code_prefix"
+        customer_orders.join(address, "customer_unique_id", "left"), points, "customer_zip_code_prefix",
+        keys_from=customers,
     ).select(
         "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state",
         "customer_lat", "customer_lng",
@@ -163,7 +164,7 @@ def seller_performance(items: DataFrame, orders: DataFrame, sellers: DataFrame)
     def known(name: str):
         return F.when(F.col(name).isNotNull(), n)
 
-    measured = lookup_join(per_order, order_columns, "order_id").select(
+    measured = lookup_join(per_order, order_columns, "order_id", keys_from=items).select(
         "seller_id",
         F.col("order_id").isNotNull().cast("int").alias("orders"),
         "price", "n_price", "freight",

@@ -232,7 +232,7 @@ def weekly_demand(items: DataFrame, orders: DataFrame, products: DataFrame) -> D
     )
     pairs = items.select("order_id", "product_id").distinct().join(named, "product_id")
     return (
-        lookup_join(pairs.select("order_id", "category").distinct(), delivered, "order_id", "inner")
+        lookup_join(pairs.select("order_id", "category").distinct(), delivered, "order_id", "inner", keys_from=items)
         .groupBy("week", "category")
         .agg(F.count_distinct("order_id").alias("order_count"))
     )
