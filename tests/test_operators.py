@@ -125,6 +125,17 @@ def test_keyed_sample_is_repeatable_and_of_the_right_size(spark):
     assert one != {(r.g, r.id) for r in keyed_sample(df, 50, ["g"], "id", 43).collect()}
 
 
+def test_keyed_sample_beyond_the_group_limit_is_the_same_sample(spark):
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") < 10, "few").otherwise("many"))
+    small = {(r.g, r.id, r.place) for r in keyed_sample(df, 1500, ["g"], "id", 42, rank="place").collect()}
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
+    try:
+        windowed = {(r.g, r.id, r.place) for r in keyed_sample(df, 1500, ["g"], "id", 42, rank="place").collect()}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert small == windowed and len(small) == 1510
+
+
 def test_least_squares_per_group(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 2))

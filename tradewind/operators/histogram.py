@@ -1,17 +1,25 @@
-"""Equal-width histograms: two narrow aggregates, every bin in the result."""
+"""Equal-width histograms: two aggregates over one narrow column, every bin in the result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.sources.scratch import written
 
-def histogram(df: DataFrame, value: str, bins: int, cap: float | None = None) -> DataFrame:
-    """bin, bin_start, bin_end, n. Values above `cap` are left out; the last bin is closed."""
+
+def histogram(df: DataFrame, value: str, bins: int, cap: float | None = None, stored: bool = False) -> DataFrame:
+    """bin, bin_start, bin_end, n. Values above `cap` are left out; the last bin is closed.
+
+    The range must be known before the rows are counted. Unless df is a stored table, its one column is
+    written first, so that what df computes is computed once.
+    """
     v = F.col(value).cast("double")
     known = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     if cap is not None:
         known = known.filter(F.col("v") <= cap)
+    if not stored:
+        known = written(known, "histogram")
     span = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn(
         "width", (F.col("hi") - F.col("lo")) / bins
     )

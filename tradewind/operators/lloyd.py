@@ -39,20 +39,21 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _pass(table: DataFrame, columns: Sequence[str], models: dict[int, np.ndarray]) -> pd.DataFrame:
-    """One job: per (model, cluster) the row count, the coordinate sums and the squared error."""
+    """One job: per (model, cluster) the row count, the squared error and the coordinate sums.
+
+    A task adds up its batches and emits one row per model and cluster.
+    """
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {model: np.zeros((len(centers), 2 + len(columns))) for model, centers in models.items()}
         for batch in batches:
-            points, rows = batch.to_numpy(dtype=float), []
+            points = batch.to_numpy(dtype=float)
             for model, centers in models.items():
                 index, error = nearest(points, centers)
-                n = np.bincount(index, minlength=len(centers))
-                cost = np.bincount(index, weights=error, minlength=len(centers))
-                sums = [np.bincount(index, weights=points[:, d], minlength=len(centers)) for d in range(points.shape[1])]
-                rows += [
-                    (model, c, int(n[c]), float(cost[c]), *[float(s[c]) for s in sums]) for c in np.flatnonzero(n)
-                ]
-            yield pd.DataFrame(rows, columns=names)
+                parts = [np.ones(len(points)), error, *points.T]
+                totals[model] += np.stack([np.bincount(index, w, len(centers)) for w in parts], axis=1)
+        rows = [(m, c, int(t[c, 0]), *map(float, t[c, 1:])) for m, t in totals.items() for c in np.flatnonzero(t[:, 0])]
+        yield pd.DataFrame(rows, columns=names)
 
     names = ["model", "cluster", "n", "cost", *[f"s{d}" for d in range(len(columns))]]
     schema = "model int, cluster int, n bigint, cost double, " + ", ".join(f"s{d} double" for d in range(len(columns)))

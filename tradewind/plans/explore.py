@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.scalars import DELIVERED
 from tradewind.operators.histogram import histogram
 from tradewind.operators.quantiles import median
+from tradewind.sources.scratch import written
 
 CORRELATED = [
     "frequency", "monetary", "avg_order_value", "recency_days", "avg_review_score", "max_installments_used",
@@ -107,9 +108,10 @@ def rfm_histograms(customers: DataFrame) -> DataFrame:
         ("log_monetary", F.log1p(F.col("monetary").cast("double")), 50),
         ("avg_review_score", F.col("avg_review_score"), 20),
     ]
+    table = written(customers.select(*[column.cast("double").alias(name) for name, column, _ in parts]), "measures")
     result = None
-    for name, column, bins in parts:
-        part = histogram(customers.select(column.alias(name)), name, bins).withColumn("measure", F.lit(name))
+    for name, _, bins in parts:
+        part = histogram(table, name, bins, stored=True).withColumn("measure", F.lit(name))
         result = part if result is None else result.unionByName(part)
     return result
 
