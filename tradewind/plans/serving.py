@@ -40,8 +40,9 @@ def revenue_by_month(orders: DataFrame) -> DataFrame:
     )
 
 
-def orders_by_state(orders: DataFrame) -> DataFrame:
-    return (
+def orders_by_state(orders: DataFrame, n: int | None = None) -> DataFrame:
+    """Orders and revenue per state, most orders first; all states or the first n."""
+    states = (
         _delivered(orders)
         .filter(F.col("customer_state").isNotNull())
         .groupBy("customer_state")
@@ -51,6 +52,7 @@ def orders_by_state(orders: DataFrame) -> DataFrame:
         )
         .orderBy(F.col("order_count").desc(), "customer_state")
     )
+    return states if n is None else states.limit(n)
 
 
 def cohort_retention(cohorts: DataFrame) -> DataFrame:

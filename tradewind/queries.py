@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.functions.scalars import doubles
+from tradewind.functions.scalars import doubles, surrogate_key
 from tradewind.operators.histogram import histogram
 from tradewind.operators.quantiles import quantiles
 from tradewind.operators.ranking import average_precision, rank_auc
@@ -64,6 +64,12 @@ def _serving() -> dict[str, Query]:
         "kpis": lambda m: serving.kpis(m.fct_orders, m.dim_customers),
         "revenue_by_month": lambda m: serving.revenue_by_month(m.fct_orders),
         "orders_by_state": lambda m: serving.orders_by_state(m.fct_orders),
+        "orders_by_state_top": lambda m: serving.orders_by_state(m.fct_orders, 15),
+        "order_item_keys": lambda m: m.stg_order_items.select(
+            "order_id", "order_item_id", "product_id", "seller_id",
+            surrogate_key(*[F.col(c) for c in ("order_id", "order_item_id", "product_id", "seller_id")]).alias("item_key"),
+        ),
+        "positive_spend": lambda m: serving.positive_spend(m.dim_customers),
         "cohort_retention": lambda m: serving.cohort_retention(m.customer_cohorts),
         "retention_of_cohort": lambda m: serving.retention_of_cohort(
             m.customer_cohorts, m.stg_orders, m.stg_customers
