@@ -54,9 +54,10 @@ def bootstrap_means(counts: DataFrame, value: str, group: Sequence[str], replica
     )
     arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("w_c", "s_c", "w_v", "s_v")]
     schema = T.StructType([counts.schema[g] for g in group] + arrays)
-    # A small table, a lot of work per row: spread it by key instead of by bytes.
+    # A small table, a lot of work per row: spread it by key instead of by bytes. By the seed, because a
+    # repartition by the columns it is already grouped by would be dropped and the partitions merged.
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = cells.repartition(tasks, *group, "__value").mapInPandas(_resampler(group, replicates), schema)
+    partial = cells.repartition(tasks, "__seed").mapInPandas(_resampler(group, replicates), schema)
     return (
         partial.select(*group, F.posexplode(F.arrays_zip("w_c", "s_c", "w_v", "s_v")).alias("replicate", "z"))
         .groupBy(*group, "replicate")

@@ -201,9 +201,10 @@ def _holt_winters(split_rows: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("week", F.col("order_count").cast("double").alias("y")))).alias("s"))
         .select("category", "fit", F.transform("s", lambda r: r["y"]).alias("y"))
     )
-    # Few bytes, a lot of work per series: spread by key instead of by bytes.
+    # Few bytes, a lot of work per series: spread by key instead of by bytes. By its hash, because a
+    # repartition by the grouping columns themselves would be dropped and the partitions merged.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tried = series.repartition(tasks, "category", "fit").crossJoin(F.broadcast(weights)).mapInPandas(  # 96 rows
+    tried = series.repartition(tasks, F.xxhash64("category", "fit")).crossJoin(F.broadcast(weights)).mapInPandas(  # 96 rows
         _try_weights, "category string, fit string, error double, path array<double>"
     )
     return tried.groupBy("category", "fit").agg(F.min_by("path", "error").alias("path"))
