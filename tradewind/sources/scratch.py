@@ -6,6 +6,7 @@ once, survives the loss of executors, cuts the lineage, and later reads are colu
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir as the cluster names it; a folder of our own only where one machine does all the work."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(
+            f"set spark.checkpoint.dir to a folder that the driver and all executors share (master is {master!r})"
+        )
     own = getattr(spark, "_tradewind_scratch", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tradewind-")
