@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tradewind.llm import bpe, packing, quality, sharding, token_files
+from tradewind.llm import bpe, packing, quality, sharding, simhash, substring, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_quality_rules": quality.op2_quality_rules,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_simhash_neighbours": simhash.op6_simhash_neighbours,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op9_token_files": token_files.op9_token_files,
         "op10_histogram_sort": sharding.op10_histogram_sort,
