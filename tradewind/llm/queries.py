@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tradewind.llm import bpe, packing, quality, sharding, simhash, substring, token_files
+from tradewind.llm import bpe, nearest, packing, quality, sharding, simhash, substring, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_adaptive_scan": nearest.op3_adaptive_scan,
+        "op4_warc_bundles": warc.op4_warc_bundles,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_simhash_neighbours": simhash.op6_simhash_neighbours,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
