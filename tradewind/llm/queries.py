@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.llm import bpe, nearest, packing, quality, sharding, simhash, substring, token_files, warc
+from tradewind.llm import bpe, nearest, packing, quality, secrets, sharding, simhash, substring, token_files, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_simhash_neighbours": simhash.op6_simhash_neighbours,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op9_token_files": token_files.op9_token_files,
         "op10_histogram_sort": sharding.op10_histogram_sort,
     }
