@@ -28,6 +28,9 @@ def _table(name: str) -> str:
 
 def _histogram(source: str, value: str, bins: int, reads: tuple[str, ...], cap: float | None = None) -> str:
     limit = f" AND v <= {cap}" if cap is not None else ""
+    above = "" if cap is None else f"""
+        UNION ALL SELECT {bins}, CAST({cap} AS DOUBLE), max(v), count(*)
+        FROM (SELECT CAST({value} AS DOUBLE) AS v FROM {source}) WHERE v > {cap}"""
     return with_tables(
         f"""SELECT CAST(g.bin AS INTEGER) AS bin, s.lo + g.bin * ((s.hi - s.lo) / {bins}) AS bin_start,
                s.lo + (g.bin + 1) * ((s.hi - s.lo) / {bins}) AS bin_end, coalesce(c.n, 0) AS n
@@ -40,7 +43,7 @@ def _histogram(source: str, value: str, bins: int, reads: tuple[str, ...], cap:
             FROM (SELECT CAST({value} AS DOUBLE) AS v FROM {source})
             CROSS JOIN (SELECT min(v) AS lo, max(v) AS hi FROM (SELECT CAST({value} AS DOUBLE) AS v FROM {source})
                         WHERE v IS NOT NULL{limit})
-            WHERE v IS NOT NULL{limit} GROUP BY 1) c ON c.bin = g.bin""",
+            WHERE v IS NOT NULL{limit} GROUP BY 1) c ON c.bin = g.bin{above}""",
         *reads,
     )
 
@@ -60,7 +63,6 @@ def _serving() -> dict[str, str]:
         c.active_customers / s.active_customers::DOUBLE AS retention_rate
         FROM customer_cohorts c JOIN customer_cohorts s
           ON c.cohort_month = s.cohort_month AND s.months_since_first = 0"""
-    months = ", ".join(f"max(CASE WHEN months_since_first = {m} THEN retention_rate END) AS m{m}" for m in range(49))
 
     def ranked(direction: str) -> str:
         return with_tables(
@@ -111,7 +113,8 @@ def _serving() -> dict[str, str]:
                 GROUP BY 1) s ON s.cohort_month = c.cohort_month""",
             "customer_cohorts"),
         "cohort_pivot": with_tables(
-            f"SELECT strftime(cohort_month, '%Y-%m') AS cohort, {months} FROM ({retention}) GROUP BY 1",
+            f"""PIVOT (SELECT strftime(cohort_month, '%Y-%m') AS cohort, 'm' || months_since_first AS month,
+                retention_rate FROM ({retention})) ON month USING max(retention_rate) GROUP BY cohort""",
             "customer_cohorts"),
         "top_customers": ranked("DESC NULLS LAST"),
         "bottom_customers": ranked("ASC NULLS FIRST"),
@@ -350,12 +353,11 @@ def _experiments() -> dict[str, str]:
             ci_high, p_value < 0.05 AS significant,
             CASE WHEN p1 > 0 THEN printf('%+.2f%% relative lift', (p2 - p1) / p1 * 100)
                  ELSE 'N/A (control rate is 0)' END AS lift, recommended_sample_size,
-            printf('The variant (%.4f) is %s %s than control (%.4f). p=%.4f (%s at α=0.05).', p2,
-                   CASE WHEN p_value < 0.05 THEN 'statistically significantly' ELSE 'not significantly' END,
-                   CASE WHEN p2 > p1 THEN 'higher' ELSE 'lower' END, p1, p_raw,
-                   CASE WHEN p_value < 0.05 THEN 'significant' ELSE 'not significant' END) AS conclusion,
-            'Two-proportion z-test with normal approximation to the binomial. '
-            || 'CI on absolute difference in proportions.' AS assumptions
+            printf('Variant mean %.4f, %s the control mean %.4f: %s at level 0.05 (p = %.4f).', p2,
+                   CASE WHEN p2 > p1 THEN 'above' WHEN p2 = p1 THEN 'level with' ELSE 'below' END, p1,
+                   CASE WHEN p_value < 0.05 THEN 'a' ELSE 'no' END || ' significant difference', p_raw) AS conclusion,
+            'Both arms large enough for the normal limit of a binomial; interval for the gap in rates, not pooled.'
+                AS assumptions
         FROM (SELECT experiment, n1 AS n_control, n2 AS n_variant, round(z, 6) AS statistic, p1, p2,
                 {p_value} AS p_raw, round({p_value}, 6) AS p_value, round(p2 - p1 - margin, 6) AS ci_low,
                 round(p2 - p1 + margin, 6) AS ci_high, {psize} AS recommended_sample_size FROM ({proportion}))""",
@@ -420,8 +422,9 @@ def _propensity() -> dict[str, str]:
     scores = """(SELECT customer_unique_id, will_repeat, p AS repeat_probability, p >= 0.5 AS repeat_prediction FROM (
         SELECT *, CAST(frequency AS DOUBLE) / (frequency + CAST(1 AS DOUBLE) + "recency_at_T" / CAST(60 AS DOUBLE)) AS p
         FROM repeat_training))"""
-    split = """(SELECT *, CAST('0x' || substr(md5('42' || CAST(customer_unique_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80
-        AS is_train FROM repeat_training)"""
+    split = """(SELECT *, 100 * row_number() OVER (
+            PARTITION BY will_repeat ORDER BY md5(md5('42' || CAST(customer_unique_id AS VARCHAR))), customer_unique_id)
+            <= 80 * count(*) OVER (PARTITION BY will_repeat) + 50 AS is_train FROM repeat_training)"""
     plain = ["frequency", "monetary", "avg_order_value", "tenure_days", '"recency_at_T"', "max_installments_used",
              "used_credit_card", "used_boleto", "used_voucher"]
     columns = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in plain)

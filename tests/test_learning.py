@@ -79,10 +79,13 @@ def training(spark, n=400, planted=True):
     return spark.createDataFrame(frame)
 
 
-def test_split_is_stable_and_about_80_20(spark):
+def test_split_is_stable_and_exact_per_class(spark):
+    table = propensity.split(training(spark))
+    for r in table.groupBy("will_repeat").agg(F.count("*").alias("n"), F.count_if("is_train").alias("t")).collect():
+        assert r.t == (8 * r.n + 5) // 10
     rows = {r.customer_unique_id: r.is_train for r in propensity.split(training(spark)).collect()}
     again = {r.customer_unique_id: r.is_train for r in propensity.split(training(spark).repartition(5)).collect()}
-    assert rows == again and 0.72 < sum(rows.values()) / len(rows) < 0.88
+    assert rows == again
 
 
 def test_features_in_order_without_null_and_with_the_train_median(spark):

@@ -94,8 +94,15 @@ def test_a_cohort_without_month_zero_has_no_retention(spark):
                                     "cohort_month date, months_since_first int, active_customers bigint")
     rows = serving.cohort_retention(cohorts).collect()
     assert [(r.cohort_month, r.retention_rate) for r in rows] == [(date(2018, 2, 1), 1.0), (date(2018, 2, 1), 1.5)]
-    wide = serving.cohort_pivot(serving.cohort_retention(cohorts), 2).collect()
-    assert [tuple(r) for r in wide] == [("2018-02", 1.0, 1.5, None)]
+    wide = serving.cohort_pivot(serving.cohort_retention(cohorts))
+    assert wide.columns == ["cohort", "m0", "m1"] and [tuple(r) for r in wide.collect()] == [("2018-02", 1.0, 1.5)]
+
+
+def test_the_pivot_holds_every_offset(spark):
+    cohorts = spark.createDataFrame([(date(2001, 1, 1), 0, 4), (date(2001, 1, 1), 100, 1)],
+                                    "cohort_month date, months_since_first int, active_customers bigint")
+    wide = serving.cohort_pivot(serving.cohort_retention(cohorts)).collect()
+    assert [r.asDict() for r in wide] == [{"cohort": "2001-01", "m0": 1.0, "m100": 0.25}]
 
 
 def test_seller_measures_count_items(m):

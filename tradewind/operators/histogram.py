@@ -9,17 +9,19 @@ from tradewind.sources.scratch import written
 
 
 def histogram(df: DataFrame, value: str, bins: int, cap: float | None = None, stored: bool = False) -> DataFrame:
-    """bin, bin_start, bin_end, n. Values above `cap` are left out; the last bin is closed.
+    """bin, bin_start, bin_end, n. The last bin is closed.
+
+    With a `cap`, the bins divide the values up to it, and one more row counts those above, from the cap
+    to the largest value (NULL when there is none).
 
     The range must be known before the rows are counted. Unless df is a stored table, its one column is
     written first, so that what df computes is computed once.
     """
     v = F.col(value).cast("double")
     known = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    if cap is not None:
-        known = known.filter(F.col("v") <= cap)
     if not stored:
         known = written(known, "histogram")
+    every, known = known, known if cap is None else known.filter(F.col("v") <= cap)
     span = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn(
         "width", (F.col("hi") - F.col("lo")) / bins
     )
@@ -30,7 +32,7 @@ def histogram(df: DataFrame, value: str, bins: int, cap: float | None = None, st
         .agg(F.count("*").alias("n"))
     )
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (
+    rows = (
         grid.crossJoin(F.broadcast(span.filter("lo is not null")))
         .join(F.broadcast(counted), "bin", "left")  # at most `bins` rows
         .select(
@@ -40,3 +42,7 @@ def histogram(df: DataFrame, value: str, bins: int, cap: float | None = None, st
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )
+    if cap is None:
+        return rows
+    above = every.filter(F.col("v") > cap).agg(F.max("v").alias("bin_end"), F.count("*").alias("n"))
+    return rows.unionByName(above.select(F.lit(bins).alias("bin"), F.lit(float(cap)).alias("bin_start"), "bin_end", "n"))

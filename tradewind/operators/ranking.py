@@ -2,7 +2,7 @@
 
 Input is one row per (group, value) with weights, so a value held by a third of all rows is a single
 row by the time it is ranked. The value axis is cut at quantiles into buckets of near-equal size: each
-bucket is a window of its own, and the totals of the lower buckets (at most BUCKETS rows per group) are
+bucket is a window of its own, and the totals of the lower buckets (one row per bucket and group) are
 added to it. The cuts are fixed numbers in the plan, so a recomputed task gets the same buckets.
 """
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tradewind.sources.scratch import written
 
-BUCKETS = 512
 ROWS_PER_BUCKET = 20_000
 
 
@@ -27,9 +26,9 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str] = (), **weights
 
 
 def _cuts(df: DataFrame, value: str) -> list[float]:
-    """Inner bucket edges: at most BUCKETS numbers, the only thing that reaches the driver."""
+    """Inner bucket edges: one number per ROWS_PER_BUCKET distinct values, the only thing that reaches the driver."""
     rows = df.count()
-    wanted = min(BUCKETS, rows // ROWS_PER_BUCKET)
+    wanted = rows // ROWS_PER_BUCKET
     if wanted < 2:
         return []
     probes = [i / wanted for i in range(1, wanted)]
@@ -69,7 +68,7 @@ def running_totals(
         before = {f"before_{w}": F.col(f"__in_{w}") for w in weights}
         return inner.withColumns(before).drop("__v", "__b", *[f"__in_{w}" for w in weights])
     totals = cells.groupBy(*group, "__b").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
-    lower = Window.partitionBy(*group).orderBy("__b").rowsBetween(*earlier)  # at most BUCKETS rows per group
+    lower = Window.partitionBy(*group).orderBy("__b").rowsBetween(*earlier)  # one row per bucket and group
     offsets = totals.select(
         *group, "__b", *[F.coalesce(F.sum(f"__t_{w}").over(lower), F.lit(0)).alias(f"__off_{w}") for w in weights]
     )

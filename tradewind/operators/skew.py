@@ -1,49 +1,16 @@
-"""A join of many rows to a table that has one row per key, when one key may hold a third of the rows.
-
-Adaptive execution splits a hot partition only if both join inputs come straight out of a shuffle; a
-lookup side that ends in an aggregate or another join does not. Here the hot keys are found in one
-pass of a bounded sketch over the key column and spread over several salts. The result is the same
-whether or not the sketch finds a key: it only decides which rows get a salt.
-"""
+"""A join of many rows to a table that has one row per key, when one key may hold a third of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SHARE = 0.01  # a key is hot from this share of the rows on, so at most 100 keys can be
-SALTS = 32
-
-
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """At most 1/SHARE rows: the keys holding at least that share of the rows of df."""
-    most = int(1 / SHARE)
-    top = df.select(F.col(key).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {most}, {most * 100})").alias("top"), F.count("k").alias("total")
-    )
-    return (
-        top.select(F.explode("top").alias("t"), "total")
-        .filter(F.col("t.count") >= F.col("total") * SHARE)
-        .select(F.col("t.item").alias(key), F.lit(True).alias("__hot"))
-    )
 
 
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", keys_from: DataFrame | None = None
-) -> DataFrame:
-    """facts joined to lookup (unique on key, left or inner), hot and NULL keys of facts spread out.
+def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """facts joined to lookup (unique on key, left or inner), fit for hot and NULL keys of facts.
 
-    keys_from: a table to look for hot keys in when facts is costly to compute, usually the raw table
-    its key comes from; then the sketch is one scan of one column.
+    Adaptive execution splits a hot partition of facts over many tasks, but only if both inputs of the
+    join come straight out of a shuffle. A lookup that ends in an aggregate by the same key would not,
+    so it is rebalanced first: the join then shuffles it by key itself. A lookup that turns out to be
+    small is broadcast instead, by the size the shuffle has measured.
     """
-    hot = F.broadcast(hot_keys(facts if keys_from is None else keys_from, key))  # at most 1/SHARE rows
-    spread = F.col("__hot") | F.col(key).isNull()
-    salted_facts = (
-        facts.join(hot, key, "left")
-        .withColumn("__salt", F.when(spread, F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0).cast("bigint")))
-        .drop("__hot")
-    )
-    none, every = F.array(F.lit(0).cast("bigint")), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    salts = F.when(F.col("__hot"), every).otherwise(none)
-    salted_lookup = lookup.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
-    return salted_facts.join(salted_lookup, [key, "__salt"], how).drop("__salt")
+    return facts.join(lookup.hint("rebalance"), key, how)

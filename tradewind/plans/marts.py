@@ -76,8 +76,7 @@ def fct_order_items(items: DataFrame, orders: DataFrame, products: DataFrame) ->
     )
     product_columns = products.select("product_id", "product_category_name", "product_category_name_english")
     return (
-        lookup_join(items, order_columns, "order_id")
-        .join(product_columns, "product_id", "left")
+        lookup_join(items.join(order_columns, "order_id", "left"), product_columns, "product_id")
         .select(
             "order_id", "order_item_id", "product_id", "seller_id", "customer_unique_id", "order_status",
             "order_purchase_timestamp", "order_month", "product_category_name", "product_category_name_english",
@@ -100,8 +99,7 @@ def dim_customers(customer_orders: DataFrame, customers: DataFrame, geo: DataFra
         F.col("lng").alias("customer_lng"),
     )
     return lookup_join(
-        customer_orders.join(address, "customer_unique_id", "left"), points, "customer_zip_code_prefix",
-        keys_from=customers,
+        customer_orders.join(address, "customer_unique_id", "left"), points, "customer_zip_code_prefix"
     ).select(
         "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state",
         "customer_lat", "customer_lng",
@@ -116,7 +114,7 @@ def dim_customers(customer_orders: DataFrame, customers: DataFrame, geo: DataFra
 
 
 def dim_products(products: DataFrame, translation: DataFrame) -> DataFrame:
-    return products.join(translation, "product_category_name", "left").select(
+    return lookup_join(products, translation, "product_category_name").select(
         "product_id",
         "product_category_name",
         F.coalesce("product_category_name_english", "product_category_name").alias("product_category_name_english"),
@@ -184,7 +182,7 @@ def seller_performance(items: DataFrame, orders: DataFrame, sellers: DataFrame)
     def known(name: str):
         return F.when(F.col(name).isNotNull(), n)
 
-    measured = lookup_join(per_order, order_columns, "order_id", keys_from=items).select(
+    measured = per_order.join(order_columns, "order_id", "left").select(
         "seller_id",
         F.col("order_id").isNotNull().cast("int").alias("orders"),
         "price", "n_price", "freight",

@@ -10,11 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.scalars import keyed_percent
+from tradewind.functions.scalars import keyed_order
 from tradewind.operators.quantiles import median
-from tradewind.operators.ranking import average_precision, rank_auc
+from tradewind.operators.ranking import average_precision, global_rank, rank_auc
 from tradewind.plans.serving import confusion_metrics
-from tradewind.sources.scratch import written
+from tradewind.sources.scratch import new_path, written
 from tradewind.sources.sinks import fit_schema
 
 # The features in their order, and the columns that would leak the label.
@@ -38,14 +38,27 @@ SEED = 42
 TRAIN_PERCENT = 80
 ROUNDS = 200
 THRESHOLD = 0.5
-ROWS_PER_PARTITION = 100_000
+PARTITIONS = 64  # of the training rows; fixed, because rows are drawn per partition
+CHECKPOINT_EVERY = 10
 MODEL_VERSION = "gbt_v1"
 
 
 def split(training: DataFrame, seed: int = SEED) -> DataFrame:
-    """training plus is_train: a keyed hash puts 80 % of each class there, the same on every run."""
-    return training.withColumn(
-        "is_train", keyed_percent(seed, F.col("customer_unique_id")) < TRAIN_PERCENT
+    """training plus is_train: 80 % of each class, rounded, by the order of a keyed hash; the same on every run.
+
+    Rows without a label are not trained on.
+    """
+    y = F.col("will_repeat").cast("int")
+    keyed = training.withColumns({"__y": y, "__k": keyed_order(seed, F.col("customer_unique_id"))})
+    sizes = training.agg(F.count(F.when(y == 0, 1)).alias("__n0"), F.count(F.when(y == 1, 1)).alias("__n1"))
+    first = F.col("__y") == 0
+    place = F.when(first, F.col("__place")).otherwise(F.col("__place") - F.col("__n0"))
+    size = F.when(first, F.col("__n0")).otherwise(F.col("__n1"))
+    return (
+        global_rank(keyed, "__y", "__k", "__place")
+        .crossJoin(F.broadcast(sizes))  # one row
+        .withColumn("is_train", F.coalesce(100 * place <= TRAIN_PERCENT * size + 50, F.lit(False)))
+        .drop("__y", "__k", "__place", "__n0", "__n1")
     )
 
 
@@ -103,17 +116,21 @@ def _vectors(prepared: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(prepared)
 
 
-def fit(prepared: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> GBTClassificationModel:
+def fit(prepared: DataFrame, rounds: int = ROUNDS, seed: int = SEED, partitions: int = PARTITIONS) -> GBTClassificationModel:
     check_trainable(prepared.select("label", *FEATURES))
     trees = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=5, stepSize=0.05,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
+        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, checkpointInterval=CHECKPOINT_EVERY,
+    )
+    context = prepared.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the lineage grows with every round
+        context.setCheckpointDir(new_path(prepared.sparkSession, "boosting"))
+    # MLlib draws its rows per partition: by a hash of the key into a fixed number, sorted, the model does
+    # not depend on how the table was laid out.
+    train = prepared.filter("is_train").repartition(partitions, "customer_unique_id").sortWithinPartitions(
+        "customer_unique_id"
     )
-    train = _vectors(prepared.filter("is_train")).select("features", "label", "weight")
-    # Boosting runs over a thousand short jobs, so partitions should be full ones: a few rows spread
-    # over many tasks cost more to schedule than to read.
-    parts = max(1, -(-train.count() // ROWS_PER_PARTITION))
-    return trees.fit(train.coalesce(parts))
+    return trees.fit(_vectors(train).select("features", "label", "weight"))
 
 
 def predict(model: GBTClassificationModel, prepared: DataFrame) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.operators.lloyd import assign, kmeans
+from tradewind.operators.clusters import best_kmeans, with_vectors
 from tradewind.operators.quantiles import quantiles
 from tradewind.operators.ranking import global_rank
 from tradewind.sources.scratch import written
@@ -18,6 +17,7 @@ from tradewind.sources.sinks import fit_schema
 K_FINAL = 5
 K_RANGE = range(3, 9)
 RESTARTS = 10
+SWEEP_RESTARTS = 3  # for each k of the sweep
 SEED = 42
 QUINTILES = 5
 FEATURES = ["recency_days", "log_frequency", "log_monetary"]
@@ -105,21 +105,16 @@ def standardized(base: DataFrame, scale: dict[str, tuple[float, float]]) -> Data
 Z_COLUMNS = [f"z_{c}" for c in FEATURES]
 
 
-def silhouette_sweep(customers: DataFrame, ks=K_RANGE, restarts: int = RESTARTS) -> DataFrame:
-    """Mean silhouette (squared Euclidean, every row) and cost for each number of clusters.
-
-    All restarts of all k share their passes over the customers.
-    """
+def silhouette_sweep(customers: DataFrame, ks=K_RANGE, restarts: int = SWEEP_RESTARTS) -> DataFrame:
+    """k, silhouette (mean, squared Euclidean, every row), cost, and whether the fit came to rest."""
     base = rfm_base(customers)
-    table = standardized(base, scaling(base))
-    best = kmeans(table, Z_COLUMNS, "customer_unique_id", ks, restarts, SEED)
-    points = VectorAssembler(inputCols=Z_COLUMNS, outputCol="features").transform(table)
+    points = with_vectors(standardized(base, scaling(base)), Z_COLUMNS).select("features")
     evaluator = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
-    rows = []
-    for k, (centers, cost) in sorted(best.items()):
-        assigned = assign(points, Z_COLUMNS, centers, "prediction").select("features", "prediction")
-        rows.append((k, float(evaluator.evaluate(assigned)), cost))
-    return customers.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
+    rows = [
+        (k, float(evaluator.evaluate(model.transform(points))), float(model.summary.trainingCost), rested)
+        for k, (model, rested) in sorted(best_kmeans(points, ks, restarts, SEED).items())
+    ]
+    return customers.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double, converged boolean")
 
 
 def centroids(centers, scale: dict[str, tuple[float, float]], like: DataFrame) -> DataFrame:
@@ -174,12 +169,19 @@ def segment_rows(assigned: DataFrame, labels: DataFrame, run_id: str, scored_at:
     )
 
 
+def clustered(customers: DataFrame, k: int = K_FINAL, restarts: int = RESTARTS):
+    """(customers with scores, z columns and cluster; centroids; whether the fit came to rest)."""
+    base = rfm_base(customers)
+    scale = scaling(base)
+    points = with_vectors(standardized(rfm_scores(base), scale), Z_COLUMNS)
+    model, rested = best_kmeans(points, [k], restarts, SEED)[k]
+    centers = [list(c) for c in model.clusterCenters()]
+    assigned = model.setPredictionCol("cluster").transform(points).drop("features")
+    return assigned, centroids(centers, scale, base), rested
+
+
 def customer_segments(
     customers: DataFrame, run_id: str, scored_at: datetime, k: int = K_FINAL, restarts: int = RESTARTS
 ) -> DataFrame:
-    base = rfm_base(customers)
-    scale = scaling(base)
-    table = standardized(rfm_scores(base), scale)
-    centers, _ = kmeans(table, Z_COLUMNS, "customer_unique_id", [k], restarts, SEED)[k]
-    labels = label_segments(centroids(centers, scale, base))
-    return segment_rows(assign(table, Z_COLUMNS, centers, "cluster"), labels, run_id, scored_at)
+    assigned, centers, _ = clustered(customers, k, restarts)
+    return segment_rows(assigned, label_segments(centers), run_id, scored_at)

@@ -85,16 +85,14 @@ def retention_of_cohort(cohorts: DataFrame, orders: DataFrame, customers: DataFr
     )
 
 
-def cohort_pivot(retention: DataFrame, months: int) -> DataFrame:
-    """Cohort rows, one column per month offset 0..months; offsets are listed, so nothing is collected."""
+def cohort_pivot(retention: DataFrame) -> DataFrame:
+    """Cohort rows, one column m<offset> for every month offset in the data (a number a month on the driver)."""
+    offsets = [r[0] for r in retention.select("months_since_first").distinct().orderBy("months_since_first").collect()]
     return (
         retention.withColumn("cohort", F.date_format("cohort_month", "yyyy-MM"))
         .groupBy("cohort")
         .agg(
-            *[
-                F.max(F.when(F.col("months_since_first") == m, F.col("retention_rate"))).alias(f"m{m}")
-                for m in range(months + 1)
-            ]
+            *[F.max(F.when(F.col("months_since_first") == m, F.col("retention_rate"))).alias(f"m{m}") for m in offsets]
         )
         .orderBy("cohort")
     )
@@ -232,9 +230,10 @@ def weekly_demand(items: DataFrame, orders: DataFrame, products: DataFrame) -> D
     named = products.filter(F.col("product_category_name_english").isNotNull()).select(
         "product_id", F.col("product_category_name_english").alias("category")
     )
-    pairs = items.select("order_id", "product_id").distinct().join(named, "product_id")
+    pairs = lookup_join(items.select("order_id", "product_id").distinct(), named, "product_id", "inner")
     return (
-        lookup_join(pairs.select("order_id", "category").distinct(), delivered, "order_id", "inner", keys_from=items)
+        pairs.select("order_id", "category").distinct()
+        .join(delivered, "order_id")
         .groupBy("week", "category")
         .agg(F.count_distinct("order_id").alias("order_count"))
     )

@@ -20,7 +20,6 @@ from tradewind.streaming import orders as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PIVOT_MONTHS = 48
 RUN_ID = "registered-query"
 SCORED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 REPLAY_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -74,7 +73,7 @@ def _serving() -> dict[str, Query]:
         "retention_of_cohort": lambda m: serving.retention_of_cohort(
             m.customer_cohorts, m.stg_orders, m.stg_customers
         ),
-        "cohort_pivot": lambda m: serving.cohort_pivot(serving.cohort_retention(m.customer_cohorts), PIVOT_MONTHS),
+        "cohort_pivot": lambda m: serving.cohort_pivot(scratch.written(serving.cohort_retention(m.customer_cohorts), "retention")),
         "top_customers": lambda m: serving.ranked_customers(m.dim_customers),
         "bottom_customers": lambda m: serving.ranked_customers(m.dim_customers, ascending=True),
         "ltv_percentiles": lambda m: _rounded(

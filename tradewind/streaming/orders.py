@@ -57,7 +57,7 @@ def _without_nan(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(value), value).alias(name)
     if isinstance(dtype, T.StringType):
-        return F.when(~value.isin("NaN", '"NaN"'), value).alias(name)  # a bare NaN token arrives quoted
+        return F.when(value != '"NaN"', value).alias(name)  # a bare token arrives in quotes, a text without
     return value.alias(name)
 
 
