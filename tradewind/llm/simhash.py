@@ -219,7 +219,7 @@ def flipped_links(values: DataFrame, limit: int) -> DataFrame:
     if limit == 2:
         return pairs
     every = groups.select("own", F.explode("own").alias("a")).select("a", F.explode("own").alias("b"))
-    return every.filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR("b")) <= limit).distinct()
+    return every.filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit).distinct()
 
 
 def grouped(docs: DataFrame, limit: int = LIMIT, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
