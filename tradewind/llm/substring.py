@@ -21,10 +21,12 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,34 +40,101 @@ GRAM = 5
 HOT = 4_096
 #: Words on either side of a seed within a run.
 SIDE = MIN_WORDS - GRAM
+#: Bytes of text that are looked at together (or one text, if it is longer).
+CHUNK = 1 << 20
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 256
 PRIME = np.uint64(0xD6E8FEB86659FD93)
 
 
+def spread(values: np.ndarray) -> np.ndarray:
+    """Each value mixed over 64 bits."""
+    out = (values + np.uint64(1)) * common.MIX
+    out = (out ^ out >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ out >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return out ^ out >> np.uint64(31)
+
+
+BYTE = spread(np.arange(256, dtype=np.uint64))
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to size - 1 of PRIME and of its inverse, modulo 2^64."""
+    inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x)]) for x in (PRIME, inverse))
+
+
+class Texts:
+    """The words of some texts, end to end: text each stands in, and a hash of its bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.n_texts = len(offsets) - 1
+        space = SPACE[data]
+        new = np.r_[True, space[:-1]]
+        new[offsets[:-1][offsets[:-1] < len(data)]] = True  # a text's first word starts with the text
+        last = np.r_[space[1:], True]
+        last[offsets[1:][offsets[1:] > 0] - 1] = True
+        starts, ends = np.flatnonzero(new & ~space), np.flatnonzero(last & ~space) + 1
+        self.text = np.searchsorted(offsets, starts, side="right") - 1
+        self.counts = np.bincount(self.text, minlength=self.n_texts)
+        up, down = powers(1 << max(10, len(data)).bit_length())
+        sums = np.r_[np.uint64(0), np.cumsum(BYTE[data] * up[: len(data)])]
+        length = ends - starts
+        self.hash = spread((sums[ends] - sums[starts]) * down[starts] ^ length.astype(np.uint64) << np.uint64(48))
+        for i in np.flatnonzero(length > LONG_WORD):
+            self.hash[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+
+
+def texts_of(column: pa.Array) -> Iterator[tuple[int, Texts]]:
+    """A column in runs of rows of about CHUNK bytes: number of the first row, and the words of the run."""
+    whole = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = whole.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < len(whole):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
+        own = offsets[first : end + 1]
+        yield first, Texts(data[own[0] : own[-1]], own - own[0])
+        first = end
+
+
 class Seeds:
-    """The seeds of one text: place, hash, splits (most and fewest words on the left), words around."""
+    """The seeds of texts: text, place among all words, hash, splits (most and fewest words on the left)."""
 
-    def __init__(self, hashes: np.ndarray):
-        n = len(hashes) - MIN_WORDS + 1
+    def __init__(self, words: Texts):
+        n = len(words.hash) - MIN_WORDS + 1
         if n <= 0:
-            self.at = self.most = self.fewest = np.empty(0, np.int64)
+            self.text = self.at = self.most = self.fewest = np.empty(0, np.int64)
             self.hash, self.around = np.empty(0, np.uint64), np.empty((0, 2 * SIDE), np.uint16)
             return
-        grams = common.rolled(hashes, GRAM)
-        owner = sliding_window_view(grams, SIDE + 1).argmin(axis=1) + np.arange(n)
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        last = np.r_[first[1:], n] - 1
+        least = common.rolled(words.hash, GRAM)
+        grams, step, size = least, np.zeros(len(least), np.int64), 1
+        while size <= SIDE:  # the leftmost minimum of ever longer runs of groups
+            move = min(size, SIDE + 1 - size)
+            right = least[move:] < least[:-move]
+            step = np.where(right, step[move:] + move, step[:-move])
+            least = np.where(right, least[move:], least[:-move])
+            size += move
+        owner = step + np.arange(n)
+        whole = words.text[:n] == words.text[MIN_WORDS - 1 :]  # runs that stay in a text
+        new = np.r_[True, (owner[1:] != owner[:-1]) | ~whole[:-1]] & whole
+        end = np.r_[(owner[1:] != owner[:-1]) | ~whole[1:], True] & whole
+        first, last = np.flatnonzero(new), np.flatnonzero(end)
         self.at = owner[first]
-        self.hash = grams[self.at]
+        self.text, self.hash = words.text[self.at], grams[self.at]
         self.most, self.fewest = self.at - first, self.at - last
-        short = np.zeros(len(hashes) + 2 * SIDE, np.uint16)
-        short[SIDE:-SIDE] = hashes >> np.uint64(48)
+        short = np.zeros(len(words.hash) + 2 * SIDE, np.uint16)
+        short[SIDE:-SIDE] = words.hash >> np.uint64(48)
         steps = np.r_[np.arange(-1, -SIDE - 1, -1), np.arange(GRAM, GRAM + SIDE)]
         self.around = short[self.at[:, None] + steps + SIDE] * within(self.most, self.fewest)
 
-    def key(self) -> np.ndarray:
+    def keys(self) -> np.ndarray:
         """One 64-bit key for seed, splits and words around."""
-        return mixed(np.c_[self.hash, self.most.astype(np.uint64) << np.uint64(8) | self.fewest.astype(np.uint64),
-                           packed(self.around)])
+        splits = self.most.astype(np.uint64) << np.uint64(8) | self.fewest.astype(np.uint64)
+        return mixed(np.c_[self.hash, splits, packed(self.around)])
 
 
 def within(most: np.ndarray, fewest: np.ndarray) -> np.ndarray:
@@ -93,64 +162,72 @@ def run_keys(seed: np.ndarray, around: np.ndarray, left: int, salt: int = 1) ->
     return mixed(np.c_[seed, np.full(len(seed), left, np.uint64), own], salt)
 
 
-def distinct_seeds(text: str | None, chosen: list[int] | None = None) -> tuple[Seeds, np.ndarray, np.ndarray]:
-    """The seeds of a text, their keys, and the places of distinct ones (of those with a chosen hash)."""
-    seeds = Seeds(common.word_hashes(common.words(text)))
-    keys = seeds.key()
-    _, at = np.unique(keys, return_index=True)
-    if chosen is not None:
-        at = at[np.isin(seeds.hash[at], np.array(chosen, np.int64).view(np.uint64))]
-    return seeds, keys, at
+def paired(text: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A key for a text of a run of rows together with a value."""
+    return spread(values) ^ spread(text.astype(np.uint64) << np.uint64(32))
 
 
-def _mapper(schema: pa.Schema, columns):
-    """A map over batches: columns gives the arrays of each row's document."""
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row that each element of a list column stands in, and the elements."""
+    sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x for row in zip(*[batch.column(c).to_pylist() for c in ("id", "text", *_extra(batch))])
-                     if len((x := columns(*row))[0])]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(np.concatenate(x)), f.type) for x, f in zip(zip(*found), schema)], schema=schema
-                )
 
-    return run
+def _map(df: DataFrame, schema: str, columns) -> DataFrame:
+    """Over runs of rows: columns gives arrays from ids, words, seeds, keys and places of distinct seeds.
 
+    Only seeds in the row's list chosen are looked at, if df has that column.
+    """
+    struct = T.StructType.fromDDL(schema)
+    target = common.to_arrow(struct)
 
-def _extra(batch: pa.RecordBatch) -> list[str]:
-    return ["chosen"] if "chosen" in batch.schema.names else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            if "chosen" in batch.schema.names:
+                row, chosen = flat(batch.column("chosen"))
+                chosen = chosen.to_numpy().view(np.uint64)
+            else:
+                chosen = None
+            for first, words in texts_of(batch.column("text")):
+                seeds = Seeds(words)
+                keys = seeds.keys()
+                _, at = np.unique(paired(seeds.text, keys), return_index=True)
+                if chosen is not None:
+                    own = (row >= first) & (row < first + words.n_texts)
+                    wanted = paired(row[own] - first, chosen[own])
+                    at = at[np.isin(paired(seeds.text[at], seeds.hash[at]), wanted)]
+                if len(at):
+                    found = columns(ids[first + seeds.text[at]], seeds, keys, at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(_signed(x), f.type) for x, f in zip(found, target)], schema=target
+                    )
+
+    return df.mapInArrow(run, struct)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64) if values.dtype == np.uint64 else values
 
 
-def _map(df: DataFrame, schema: str, columns) -> DataFrame:
-    struct = T.StructType.fromDDL(schema)
-    return df.mapInArrow(_mapper(common.to_arrow(struct), columns), struct)
-
+def _seed_counts(ids, seeds, keys, at):
+    order = np.lexsort((seeds.hash[at], seeds.text[at]))
+    hashes, texts = seeds.hash[at][order], seeds.text[at][order]
+    start = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])])
+    return hashes[start], ids[order][start], np.diff(np.r_[start, len(order)])
 
-def _seed_counts(doc, text):
-    seeds, _, at = distinct_seeds(text)
-    found, counts = np.unique(seeds.hash[at], return_counts=True)
-    return found, np.full(len(found), doc), counts
 
+def _occurrences(ids, seeds, keys, at):
+    return seeds.hash[at], ids, seeds.most[at] << 8 | seeds.fewest[at], keys[at], *packed(seeds.around[at]).T
 
-def _occurrences(doc, text, chosen):
-    seeds, keys, at = distinct_seeds(text, chosen)
-    around = packed(seeds.around[at])
-    splits = seeds.most[at] << 8 | seeds.fewest[at]
-    return seeds.hash[at], np.full(len(at), doc), splits, keys[at], *around.T
 
-
-def _runs(doc, text, chosen):
-    seeds, keys, at = distinct_seeds(text, chosen)
+def _runs(ids, seeds, keys, at):
     out = []
     for left in range(SIDE + 1):
-        own = at[(seeds.fewest[at] <= left) & (left <= seeds.most[at])]
+        some = (seeds.fewest[at] <= left) & (left <= seeds.most[at])
+        own = at[some]
         one, two = (run_keys(seeds.hash[own], seeds.around[own], left, salt) for salt in (1, 2))
-        out.append((one, two, np.full(len(own), doc), keys[own], np.full(len(own), 1 << left)))
+        out.append((one, two, ids[some], keys[own], np.full(len(own), 1 << left)))
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -229,29 +306,47 @@ def repeats(every: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
     return found.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("key", "repeats")).alias("found"))
 
 
-def kept_words(text: str | None, copy: bool, found: list[dict] | None):
-    """(n_words, spans of words removed, the words kept) of a text."""
-    own = common.words(text)
-    n = len(own)
-    gone = np.zeros(n, bool)
-    if copy and n >= MIN_WORDS:
-        gone[:] = True
-    elif found:
-        seeds = Seeds(common.word_hashes(own))
-        bits: dict[int, int] = {}
-        for x in found:
-            bits[x["key"]] = bits.get(x["key"], 0) | x["repeats"]
-        own_bits = np.array([bits.get(k, 0) for k in seeds.key().view(np.int64).tolist()], np.int64)
-        edges = np.zeros(n + 1, np.int64)
-        for left in range(SIDE + 1):
-            starts = seeds.at[(own_bits >> left & 1) > 0] - left
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + MIN_WORDS, -1)
-        gone = np.cumsum(edges[:-1]) > 0
-    sides = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-    spans = [{"start": int(a), "end": int(b)} for a, b in zip(sides[::2], sides[1::2])]
-    left = [w for w, g in zip(own, gone.tolist()) if not g] if spans else own
-    return n, spans, b" ".join(left).decode()
+def removed_words(words: Texts, copy: np.ndarray, row: np.ndarray, key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which words of texts are removed: all of a copy's, and the runs that (row, key, bits) name."""
+    gone = copy[words.text] & (words.counts[words.text] >= MIN_WORDS)
+    if len(row):
+        seeds = Seeds(words)
+        names = paired(row, key)
+        order = np.argsort(names)
+        start = np.flatnonzero(np.r_[True, names[order][1:] != names[order][:-1]])
+        names, bits = names[order][start], np.bitwise_or.reduceat(bits[order], start)
+        own = paired(seeds.text, seeds.keys())
+        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        own_bits = np.where(names[place] == own, bits[place], 0)
+        starts = np.concatenate([seeds.at[own_bits >> left & 1 > 0] - left for left in range(SIDE + 1)])
+        n = len(gone) + 1
+        edges = np.bincount(starts, minlength=n) - np.bincount(starts + MIN_WORDS, minlength=n)
+        gone |= np.cumsum(edges[:-1]) > 0
+    return gone
+
+
+def kept_rows(text: pa.Array, copies: pa.Array, found: pa.Array) -> Iterator[tuple[int, list[dict], str]]:
+    """(n_words, spans removed, words kept) of each row."""
+    copy = copies.is_valid().to_numpy(zero_copy_only=False)
+    row, elements = flat(found)
+    key = elements.field("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    bits = elements.field("repeats").to_numpy(zero_copy_only=False).astype(np.int64)
+    for first, words in texts_of(text):
+        own = (row >= first) & (row < first + words.n_texts)
+        end = first + words.n_texts
+        gone = removed_words(words, copy[first:end], row[own] - first, key[own], bits[own])
+        at = np.r_[0, np.cumsum(words.counts)]
+        some = np.r_[0, np.cumsum(gone)]
+        for i in range(words.n_texts):
+            a, b = at[i], at[i + 1]
+            raw = common.words(text[first + i].as_py())
+            spans = []
+            if some[b] > some[a]:
+                mask = gone[a:b]
+                sides = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).tolist()
+                spans = [{"start": x, "end": y} for x, y in zip(sides[::2], sides[1::2])]
+                raw = list(compress(raw, (~mask).tolist()))
+            yield int(b - a), spans, b" ".join(raw).decode()
 
 
 ADDED = "n_words bigint, removed array<struct<start: int, end: int>>, kept string"
@@ -286,8 +381,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in (at_text, "copy_id", "found")])
-            results = [kept_words(text, copy is not None, found) for text, copy, found in rows]
+            results = list(kept_rows(*[batch.column(c) for c in (at_text, "copy_id", "found")]))
             made = [pa.array(x, target.field(c).type) for x, c in zip(zip(*results), ("n_words", "removed", "kept"))]
             same = [batch.column(f.name).cast(f.type) for f in target if f.name in given]
             if results:
