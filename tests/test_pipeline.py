@@ -59,6 +59,48 @@ def test_build_writes_checked_gold_tables(spark):
     assert again.fct_orders.count() == 5
 
 
+def test_model_jobs_write_their_gold_tables(spark):
+    from tests.test_learning import training, weekly
+    from tradewind.plans import jobs, serving
+
+    gold = build(spark, bronze(spark), snapshot_date="2018-02-15", horizon_days=30)
+    jobs.write_segments(gold, run_id="r", k=2, restarts=1)
+    summary = serving.segment_summary(gold.customer_segments).collect()
+    assert sum(r.customer_count for r in summary) == gold.dim_customers.count()
+
+    class Trained:
+        repeat_purchase_training = training(spark)
+
+    jobs.write_repeat_scores(Trained, run_id="r", rounds=3, partitions=1)
+    assert serving.repeat_scores(gold.customer_repeat_purchase_scores).count() == Trained.repeat_purchase_training.count()
+    assert serving.feature_importance(gold.repeat_purchase_feature_importance).count() == 12
+    jobs.write_forecasts(gold, run_id="r")  # the shop's series are too short: a table without rows
+    assert serving.forecasts(gold.demand_forecasts).count() == 0
+    assert not [t.name for t in spark.catalog.listTables("gold") if t.name.endswith("__staged")]
+    for table in ("customer_segments", "customer_repeat_purchase_scores", "repeat_purchase_feature_importance", "demand_forecasts"):
+        spark.sql(f"DROP TABLE gold.{table}")
+
+
+def test_stale_orders_stop_a_build_that_asks(spark):
+    with pytest.raises(quality.QualityError, match="freshness"):
+        build(spark, bronze(spark), snapshot_date="2018-02-15", horizon_days=30, now=datetime(2024, 1, 1, tzinfo=timezone.utc))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
+
+
+def test_a_quoted_nan_is_text(spark):
+    messages = spark.createDataFrame([('{"a": "NaN"}',), ('{"a": NaN}',)], "value string")
+    schema = spark.createDataFrame([], "a string").schema
+    assert [r.a for r in stream.accepted(stream.decode(messages, schema)).collect()] == ["NaN", None]
+
+
 def test_build_stops_before_gold_when_a_check_fails(spark):
     shop = bronze(spark)
     doubled = shop.__class__(**{**dict(shop.items()), "products": shop.products.unionAll(shop.products)})

@@ -100,12 +100,30 @@ def _fits(split_rows: DataFrame) -> DataFrame:
     return split_rows.withColumn("fit", F.explode(fits))
 
 
-def _regression(split_rows: DataFrame, order: int) -> DataFrame:
-    """category, fit, beta (array), sigma (residual standard deviation)."""
+def _with_terms(split_rows: DataFrame, order: int) -> DataFrame:
     first = split_rows.withColumn("first", F.min("week").over(Window.partitionBy("category")))
-    rows = _fits(first).withColumns({**_terms(order), "y": F.col("order_count").cast("double")})
-    penalty = [0.0, 0.0] + [RIDGE] * (2 * order)
-    return solve_per_group(rows, ["category", "fit"], [f"x{i}" for i in range(2 + 2 * order)], "y", penalty)
+    return first.withColumns({**_terms(order), "y": F.col("order_count").cast("double")})
+
+
+def _penalty(order: int) -> list[float]:
+    return [0.0, 0.0] + [RIDGE] * (2 * order)
+
+
+def _regression(rows: DataFrame, order: int) -> DataFrame:
+    """category, beta (array), sigma (residual standard deviation) of the fit on rows with terms."""
+    return solve_per_group(rows, ["category"], [f"x{i}" for i in range(2 + 2 * order)], "y", _penalty(order))
+
+
+def normal_residuals(split_rows: DataFrame, order: int = FOURIER_ORDER) -> DataFrame:
+    """category, residual: the largest relative gap in the normal equations of the fit on every week."""
+    rows = _with_terms(split_rows, order)
+    fitted = rows.join(_regression(rows, order).select("category", "beta"), "category")
+    gaps = []
+    for i, penalty in enumerate(_penalty(order)):
+        x = F.col(f"x{i}")
+        gap = F.sum(x * (F.col("y") - _dot(order))) - penalty * F.max(F.col("beta")[i])
+        gaps.append(F.abs(gap) / (1 + F.sum(F.abs(x * F.col("y")))))
+    return fitted.groupBy("category").agg(F.greatest(*gaps).alias("residual"))
 
 
 def _dot(order: int):
@@ -114,10 +132,10 @@ def _dot(order: int):
 
 def regression_holdout(split_rows: DataFrame, order: int = FOURIER_ORDER) -> DataFrame:
     """category, week, y_true, y_pred of the held-out weeks, predicted by the fit on the rest."""
-    beta = _regression(split_rows, order).filter("fit = 'train'").select("category", "beta")
-    first = split_rows.withColumn("first", F.min("week").over(Window.partitionBy("category")))
+    rows = _with_terms(split_rows, order)
+    beta = _regression(rows.filter("not is_test"), order).select("category", "beta")
     return (
-        first.filter("is_test").withColumns(_terms(order)).join(beta, "category")
+        rows.filter("is_test").join(beta, "category")
         .select(
             "category", "week", F.col("order_count").cast("double").alias("y_true"),
             F.greatest(_dot(order), F.lit(0.0)).alias("y_pred"),
@@ -127,7 +145,7 @@ def regression_holdout(split_rows: DataFrame, order: int = FOURIER_ORDER) -> Dat
 
 def regression_future(split_rows: DataFrame, order: int = FOURIER_ORDER) -> DataFrame:
     """category, week, yhat, yhat_lower, yhat_upper, model for the weeks ahead, fitted on every week."""
-    beta = _regression(split_rows, order).filter("fit = 'all'").select("category", "beta", "sigma")
+    beta = _regression(_with_terms(split_rows, order), order).select("category", "beta", "sigma")
     name = "linear_trend" if order == 0 else "trend_fourier"
     return (
         future_weeks(split_rows).withColumns(_terms(order)).join(beta, "category")

@@ -116,9 +116,7 @@ class GoldTables:
         self._spark, self._silver, self._gold = spark, silver, gold
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in STAGING:  # views of the session that ran the build
-            return self._spark.table(f"{self._silver}_{name}")
-        if name in INTERMEDIATE:
+        if name in STAGING or name in INTERMEDIATE:
             return self._spark.table(f"{self._silver}.{name}")
         if name.startswith("_"):
             raise AttributeError(name)

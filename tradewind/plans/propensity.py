@@ -39,7 +39,7 @@ TRAIN_PERCENT = 80
 ROUNDS = 200
 THRESHOLD = 0.5
 PARTITIONS = 64  # of the training rows; fixed, because rows are drawn per partition
-CHECKPOINT_EVERY = 10
+CHECKPOINT_EVERY = 20
 MODEL_VERSION = "gbt_v1"
 
 

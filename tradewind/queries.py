@@ -12,7 +12,7 @@ from tradewind.functions.scalars import doubles, surrogate_key
 from tradewind.operators.histogram import histogram
 from tradewind.operators.quantiles import quantiles
 from tradewind.operators.ranking import average_precision, rank_auc
-from tradewind.plans import experiments, explore, forecast, propensity, quality, segments, serving
+from tradewind.plans import experiments, explore, facts, forecast, propensity, quality, segments, serving
 from tradewind.plans.models import INTERMEDIATE, MARTS, STAGING, Models
 from tradewind.session import tune
 from tradewind.sources import csv_files, scratch, star
@@ -177,10 +177,8 @@ def _experiments() -> dict[str, Query]:
         "ab_mannwhitney": over(
             0, lambda e: _rounded(experiments.mann_whitney(experiments.arm_counts(e, by), by), 6, "p_value")
         ),
-        "ab_normality": over(0, lambda e: experiments.normality(e, by)),
-        "ab_bootstrap": over(
-            0, lambda e: experiments.bootstrap_interval(experiments.arm_counts(e, by), "value", by, 0.05)
-        ),
+        "ab_normality": over(0, lambda e: facts.normality_facts(experiments.normality(e, by), by)),
+        "ab_bootstrap": over(0, lambda e: facts.bootstrap_facts(e, by)),
         "ab_sample_size": lambda spark, directory: over(
             0, lambda e: experiments.sample_sizes(e, by, "continuous").withColumn("metric", F.lit("continuous"))
         )(spark, directory).unionByName(
@@ -191,7 +189,7 @@ def _experiments() -> dict[str, Query]:
                 .withColumn("metric", F.lit("proportion")),
             )(spark, directory)
         ).select("metric", *by, "n_control", "n_variant", sizes),
-        "ab_test": over(0, lambda e: experiments.ab_test(e, by, "continuous")),
+        "ab_test": over(0, lambda e: facts.test_facts(experiments.ab_test(e, by, "continuous"), by)),
         "ab_test_proportion": over(
             1,
             lambda e: _rounded(
@@ -228,8 +226,8 @@ def _segments() -> dict[str, Query]:
         ),
         "label_segments": lambda m: segments.label_segments(_band_centers(_banded(m))),
         "segment_summary": lambda m: serving.segment_summary(_banded_segments(m)),
-        "silhouette_sweep": lambda m: segments.silhouette_sweep(m.dim_customers),
-        "customer_segments": lambda m: segments.customer_segments(m.dim_customers, RUN_ID, SCORED_AT),
+        "silhouette_sweep": lambda m: facts.sweep_facts(segments.silhouette_sweep(m.dim_customers)),
+        "customer_segments": lambda m: facts.cluster_facts(m.dim_customers),
     }
     return {name: _over_models(build) for name, build in spec.items()}
 
@@ -246,11 +244,12 @@ _MODELS: dict = {}
 
 
 def _trained(spark: SparkSession, directory: str):
-    """(prepared features, model): one training job per session and directory feeds its three tables."""
-    key = (spark.sparkContext.applicationId, directory)
+    """(prepared features, model): one training job feeds three tables, until the scratch tables go."""
+    key = (spark.sparkContext.applicationId, directory, scratch.generation(spark))
     if key not in _MODELS:
+        _MODELS.clear()
         prepared = propensity.prepare(models(spark, directory).repeat_purchase_training)
-        _MODELS[key] = prepared, propensity.fit(prepared)
+        _MODELS[key] = prepared, propensity.fit(prepared, partitions=1)  # some thousand rows
     return _MODELS[key]
 
 
@@ -288,14 +287,17 @@ def _propensity() -> dict[str, Query]:
     }
     return {
         **{name: _over_models(build) for name, build in spec.items()},
-        "repeat_scores": lambda spark, directory: propensity.score_rows(
-            predicted(spark, directory), RUN_ID, SCORED_AT
+        "repeat_scores": lambda spark, directory: facts.score_facts(
+            propensity.score_rows(predicted(spark, directory), RUN_ID, SCORED_AT)
         ),
-        "propensity_report": lambda spark, directory: propensity.report(
-            scratch.written(predicted(spark, directory), "predicted")
+        "propensity_report": lambda spark, directory: facts.report_facts(predicted(spark, directory)),
+        "propensity_importance": lambda spark, directory: facts.importance_facts(
+            serving.feature_importance(
+                propensity.importance_rows(*reversed(_trained(spark, directory)), RUN_ID, SCORED_AT)
+            )
         ),
-        "propensity_importance": lambda spark, directory: serving.feature_importance(
-            propensity.importance_rows(*reversed(_trained(spark, directory)), RUN_ID, SCORED_AT)
+        "repeat_score_values": lambda spark, directory: serving.repeat_scores(
+            _simple_scores(models(spark, directory).repeat_purchase_training)
         ),
     }
 
@@ -326,14 +328,17 @@ def _forecast() -> dict[str, Query]:
         "forecast_metrics": lambda m: forecast.forecast_metrics(forecast.regression_holdout(held_out(m), order=0)),
         "forecast_summary": lambda m: _rounded(serving.forecast_summary(trend(m)), 4, "avg_weekly_orders"),
         "forecast_overlay": lambda m: _rounded(overlay(m), 4, "value", "yhat_lower", "yhat_upper"),
-        "demand_forecast": lambda m: forecast.demand_forecasts(
-            forecast.regression_future(held_out(m)), RUN_ID, SCORED_AT
+        "forecasts": lambda m: _rounded(
+            serving.forecasts(forecast.demand_forecasts(trend(m), RUN_ID, SCORED_AT)), 4, *bounds
+        ),
+        "demand_forecast": lambda m: facts.regression_facts(held_out(m)),
+        "demand_forecast_hw": lambda m: facts.smoothing_facts(held_out(m)),
+        "forecast_metrics_seasonal": lambda m: facts.metric_facts(
+            forecast.forecast_metrics(forecast.regression_holdout(held_out(m)))
         ),
-        "demand_forecast_hw": lambda m: forecast.demand_forecasts(
-            forecast.smoothing_future(held_out(m)), RUN_ID, SCORED_AT
+        "forecast_metrics_hw": lambda m: facts.metric_facts(
+            forecast.forecast_metrics(forecast.smoothing_holdout(held_out(m)))
         ),
-        "forecast_metrics_seasonal": lambda m: forecast.forecast_metrics(forecast.regression_holdout(held_out(m))),
-        "forecast_metrics_hw": lambda m: forecast.forecast_metrics(forecast.smoothing_holdout(held_out(m))),
     }
     return {name: _over_models(build) for name, build in spec.items()}
 

@@ -46,8 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RELEASES: dict[str, int] = {}
+
+
+def generation(spark: SparkSession) -> int:
+    """How often the session's scratch tables have been deleted: what is kept between calls must match it."""
+    return _RELEASES.get(spark.sparkContext.applicationId, 0)
+
+
 def release(spark: SparkSession) -> bool:
     """Delete what this session has written; call when its results have been read."""
+    _RELEASES[spark.sparkContext.applicationId] = generation(spark) + 1
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
