@@ -22,7 +22,8 @@ HEADLINE = [
     "customer_cohorts", "cohort_retention", "seller_performance", "repeat_training", "top_customers",
     "weekly_demand", "category_revenue_top", "ltv_percentiles", "ltv_histogram", "rfm_score", "rfm_correlation",
     "threshold_sweep", "roc_auc", "average_precision", "ab_proportion", "ab_welch", "ab_mannwhitney",
-    "ab_bootstrap", "ab_test", "demand_forecast", "dq_relationships", "stream_orders",
+    "ab_bootstrap", "ab_test", "demand_forecast", "demand_forecast_hw", "customer_segments", "silhouette_sweep",
+    "repeat_scores", "dq_relationships", "dq_not_null", "dq_unique", "stream_orders",
 ]
 
 
