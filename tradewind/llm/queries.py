@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewind.llm import bpe, nearest, packing, quality, secrets, sharding, simhash, substring, token_files, warc
+from tradewind.llm import bpe, nearest, oracle, packing, quality, secrets, sharding, simhash, substring, token_files, warc
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
