@@ -183,6 +183,28 @@ def test_shards_of_few_rows_and_far_keys(spark, nothing):
     assert sharding.sharded(nothing, F.col("doc_id"), F.lit(1).cast("bigint")).count() == 0
 
 
+def test_places_among_edges(spark):
+    for edges in ([], [5], [-3, 5], [5, 5, 9], [*range(0, 70, 10)], [*range(0, 80, 10)]):
+        rows = spark.range(-10, 100).select("id", sharding.place(F.col("id"), edges).alias("place")).collect()
+        assert [r["place"] for r in rows] == [sum(e <= r["id"] for e in edges) for r in rows]
+
+
+def test_larger_tables_get_more_ranges(spark, monkeypatch):
+    docs = spark.range(0, 4_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("n"))
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 40)
+    cuts, parts = sharding.splitters(docs.select(F.col("doc_id").alias("__key"), F.col("n").alias("__size")), 8)
+    assert parts == 50 and len(cuts) == 399 and cuts == sorted(cuts)
+    sums = check_shards(sharding.sharded(docs, F.col("doc_id"), F.col("n")).collect(), 8)
+    assert max(sums) - min(sums) <= 14
+
+
+def test_a_key_with_a_third_of_the_bytes(spark):
+    docs = spark.range(0, 3_000).select(F.greatest(F.col("id"), F.lit(1_000)).alias("doc_id"), F.lit(1).cast("bigint").alias("n"))
+    rows = sharding.sharded(docs, F.col("doc_id"), F.col("n")).collect()
+    assert len(rows) == 3_000
+    check_shards(rows, 8)
+
+
 def test_shards_of_messy_documents(messy):
     rows = sharding.sharded(messy, F.col("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("bigint") + 1, 2, 2).collect()
     assert len(rows) == len(TEXTS)
