@@ -62,6 +62,15 @@ def test_substring_dedup_is_brute_force(spark, small, messy, hot):
     assert result_of(substring.without_repeats(messy, hot)) == removed_by_hand(TEXTS)
 
 
+@pytest.mark.parametrize("hot", [2, substring.HOT])
+def test_runs_that_differ_in_one_word_are_no_repeats(spark, hot):
+    shared = [f"p{i}" for i in range(substring.MIN_WORDS - 1)]
+    rows = [(2 * i, " ".join([*shared, f"own{i}"])) for i in range(3_000)]
+    rows += [(2 * i + 1, " ".join([f"own{i}", *shared])) for i in range(1, 1_000)]
+    found = substring.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), hot)
+    assert found.filter("size(removed) > 0").count() == 0
+
+
 def test_substring_dedup_gives_maximal_repeats_and_whole_columns(messy):
     row = substring.without_repeats(messy).filter("doc_id = 6").first()
     assert [(s["start"], s["end"]) for s in row["removed"]] == [(2, 62)] and row["n_words"] == 64

@@ -4,9 +4,10 @@ Every run of MIN_WORDS words holds a seed: the GRAM-word group with the smallest
 Seeds are counted over the corpus, and documents are joined on those that occur twice. Each such
 occurrence is then extended both ways, as far as runs of MIN_WORDS words that own the seed reach, and
 compared with all occurrences of the seed at once: for each split of the missing words into words on the
-left and on the right, occurrences with the same words form a class, and all but those of the smallest
-document are repeats. A run and its copy own the same seed at the same place, so none is missed and
-none is compared twice. Runs that touch are merged, which gives the maximal repeats.
+left and on the right, occurrences with the same words (the same seed and the same 64-bit hash of the
+run) form a class, and all but those of the smallest document are repeats. A run and its copy own the
+same seed at the same place, so none is missed and none is compared twice. Runs that touch are merged,
+which gives the maximal repeats.
 
 Occurrences of a seed meet in one task only up to HOT of them. For seeds that are more frequent, the
 smallest document of each run is found by an aggregate that combines before the shuffle, and joined
@@ -108,7 +109,7 @@ class Seeds:
         n = len(words.hash) - MIN_WORDS + 1
         if n <= 0:
             self.text = self.at = self.most = self.fewest = np.empty(0, np.int64)
-            self.hash, self.around = np.empty(0, np.uint64), np.empty((0, 2 * SIDE), np.uint16)
+            self.hash, self.runs = np.empty(0, np.uint64), np.empty((0, SIDE + 1), np.uint64)
             return
         least = common.rolled(words.hash, GRAM)
         grams, step, size = least, np.zeros(len(least), np.int64), 1
@@ -126,25 +127,16 @@ class Seeds:
         self.at = owner[first]
         self.text, self.hash = words.text[self.at], grams[self.at]
         self.most, self.fewest = self.at - first, self.at - last
-        short = np.zeros(len(words.hash) + 2 * SIDE, np.uint16)
-        short[SIDE:-SIDE] = words.hash >> np.uint64(48)
-        steps = np.r_[np.arange(-1, -SIDE - 1, -1), np.arange(GRAM, GRAM + SIDE)]
-        self.around = short[self.at[:, None] + steps + SIDE] * within(self.most, self.fewest)
+        # A hash of the whole run for every number of words on the left of the seed.
+        left = np.arange(SIDE + 1)
+        owned = (self.fewest[:, None] <= left) & (left <= self.most[:, None])
+        at = np.clip(self.at[:, None] - left, 0, n - 1)
+        self.runs = common.rolled(words.hash, MIN_WORDS)[at] * owned
 
     def keys(self) -> np.ndarray:
-        """One 64-bit key for seed, splits and words around."""
+        """One 64-bit key for seed, splits and runs."""
         splits = self.most.astype(np.uint64) << np.uint64(8) | self.fewest.astype(np.uint64)
-        return mixed(np.c_[self.hash, splits, packed(self.around)])
-
-
-def within(most: np.ndarray, fewest: np.ndarray) -> np.ndarray:
-    """Which of the words around belong to a run with these splits: SIDE on the left, SIDE on the right."""
-    step = np.arange(1, SIDE + 1)
-    return np.c_[step <= most[:, None], step <= SIDE - fewest[:, None]]
-
-
-def packed(around: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(around, np.uint16).view(np.uint64)
+        return mixed(np.c_[self.hash, splits, self.runs])
 
 
 def mixed(columns: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -155,13 +147,6 @@ def mixed(columns: np.ndarray, seed: int = 1) -> np.ndarray:
     return out
 
 
-def run_keys(seed: np.ndarray, around: np.ndarray, left: int, salt: int = 1) -> np.ndarray:
-    """A key for the run that has left words before the seed: equal for equal runs."""
-    splits = np.full(len(seed), left)
-    own = packed(around * within(splits, splits))
-    return mixed(np.c_[seed, np.full(len(seed), left, np.uint64), own], salt)
-
-
 def paired(text: np.ndarray, values: np.ndarray) -> np.ndarray:
     """A key for a text of a run of rows together with a value."""
     return spread(values) ^ spread(text.astype(np.uint64) << np.uint64(32))
@@ -218,7 +203,7 @@ def _seed_counts(ids, seeds, keys, at):
 
 
 def _occurrences(ids, seeds, keys, at):
-    return seeds.hash[at], ids, seeds.most[at] << 8 | seeds.fewest[at], keys[at], *packed(seeds.around[at]).T
+    return seeds.hash[at], ids, seeds.most[at] << 8 | seeds.fewest[at], keys[at], *seeds.runs[at].T
 
 
 def _runs(ids, seeds, keys, at):
@@ -226,8 +211,7 @@ def _runs(ids, seeds, keys, at):
     for left in range(SIDE + 1):
         some = (seeds.fewest[at] <= left) & (left <= seeds.most[at])
         own = at[some]
-        one, two = (run_keys(seeds.hash[own], seeds.around[own], left, salt) for salt in (1, 2))
-        out.append((one, two, ids[some], keys[own], np.full(len(own), 1 << left)))
+        out.append((seeds.hash[own], seeds.runs[own, left], ids[some], keys[own], np.full(len(own), 1 << left)))
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -237,16 +221,14 @@ def _compared():
 
     def repeats(table: pa.Table) -> pa.RecordBatch:
         seed, doc, splits = (table.column(c).to_numpy() for c in ("seed", "id", "splits"))
-        around = np.ascontiguousarray(np.stack([table.column(f"w{i}").to_numpy() for i in range(4)], axis=1))
-        around = around.view(np.uint16).reshape(len(seed), 2 * SIDE)
         found = np.zeros(len(seed), np.int64)
         for left in range(SIDE + 1):
             own = np.flatnonzero((splits & 255 <= left) & (left <= splits >> 8))
             if len(own) < 2:
                 continue
-            key = run_keys(seed[own].view(np.uint64), around[own], left)
-            order = np.lexsort((doc[own], key))
-            start = np.r_[True, key[order][1:] != key[order][:-1]]
+            run, of = table.column(f"run{left}").to_numpy()[own], seed[own]
+            order = np.lexsort((doc[own], run, of))
+            start = np.r_[True, (run[order][1:] != run[order][:-1]) | (of[order][1:] != of[order][:-1])]
             first = doc[own][order][np.flatnonzero(start)[np.cumsum(start) - 1]]
             found[own[order[doc[own][order] > first]]] |= 1 << left
         some = found > 0
@@ -295,14 +277,14 @@ def repeats(every: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
         own = by_doc.filter(F.size(kind) > 0).select(F.col("id").alias("by_id"), F.col(kind).alias("chosen"))
         return texts.join(own, F.col("id") == F.col("by_id")).drop("by_id")
 
-    words = ", ".join(f"w{i} bigint" for i in range(4))
-    met = _map(chosen("some"), f"seed bigint, id bigint, splits bigint, key bigint, {words}", _occurrences)
+    held = ", ".join(f"run{left} bigint" for left in range(SIDE + 1))
+    met = _map(chosen("some"), f"seed bigint, id bigint, splits bigint, key bigint, {held}", _occurrences)
     sorted_ = met.repartition(n_tasks, "seed").sortWithinPartitions("seed")
     found = sorted_.mapInArrow(_compared(), T.StructType.fromDDL("id bigint, key bigint, repeats bigint"))
 
-    runs = _map(chosen("many"), "one bigint, two bigint, id bigint, key bigint, repeats bigint", _runs)
-    first = runs.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    later = runs.join(first, ["one", "two"]).filter("id > first").select("id", "key", "repeats")
+    runs = _map(chosen("many"), "seed bigint, run bigint, id bigint, key bigint, repeats bigint", _runs)
+    first = runs.groupBy("seed", "run").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    later = runs.join(first, ["seed", "run"]).filter("id > first").select("id", "key", "repeats")
     return found.unionByName(later).groupBy("id").agg(F.collect_list(F.struct("key", "repeats")).alias("found"))
 
 
