@@ -373,10 +373,10 @@ def _experiments() -> dict[str, str]:
         "ab_sample_size": f"""SELECT 'continuous' AS metric, experiment, n1 AS n_control, n2 AS n_variant,
             {size} AS recommended_sample_size FROM ({moments})
         UNION ALL SELECT 'proportion', CAST(experiment AS VARCHAR), n1, n2, {psize} FROM ({proportion})""",
-        "ab_normality": f"""SELECT experiment, CAST(least(n1, n2, 50) AS BIGINT) AS sample_n, true AS p_in_range,
+        "ab_normality_check": f"""SELECT experiment, CAST(least(n1, n2, 50) AS BIGINT) AS sample_n, true AS p_in_range,
             true AS verdict_follows FROM ({moments})""",
-        "ab_bootstrap": f"SELECT experiment, true AS low_near, true AS high_near FROM ({moments})",
-        "ab_test": f"""SELECT experiment, 'continuous' AS test_type, n1 AS n_control, n2 AS n_variant,
+        "ab_bootstrap_check": f"SELECT experiment, true AS low_near, true AS high_near FROM ({moments})",
+        "ab_test_check": f"""SELECT experiment, 'continuous' AS test_type, n1 AS n_control, n2 AS n_variant,
             printf('%+.4f absolute difference in means', m2 - m1) AS lift, {size} AS recommended_sample_size
             FROM ({moments})""",
         "ab_arms_proportion": with_tables(sampled(late), "fct_orders"),
@@ -417,9 +417,9 @@ def _segments() -> dict[str, str]:
             f"SELECT customer_unique_id, r_score, f_score, m_score FROM ({scores})", "dim_customers"),
         "rfm_score": with_tables(f"SELECT customer_unique_id, rfm_score FROM ({banded})", "dim_customers"),
         "label_segments": with_tables(labels, "dim_customers"),
-        "silhouette_sweep": """SELECT CAST(k AS INTEGER) AS k, true AS converged, true AS in_range, true AS cost_falls
+        "silhouette_sweep_check": """SELECT CAST(k AS INTEGER) AS k, true AS converged, true AS in_range, true AS cost_falls
             FROM range(3, 9) r(k)""",
-        "customer_segments": with_tables(
+        "customer_segments_check": with_tables(
             """SELECT CAST(c AS INTEGER) AS cluster, (SELECT count(*) FROM dim_customers) AS customers,
                 true AS centre_is_mean, true AS all_nearest FROM range(5) r(c)""", "dim_customers"),
         "segment_summary": with_tables(
@@ -457,14 +457,14 @@ def _propensity() -> dict[str, str]:
             f"""SELECT count(*) FILTER (WHERE will_repeat) AS n_pos, count(*) FILTER (WHERE NOT will_repeat) AS n_neg,
                 count(*) FILTER (WHERE NOT will_repeat) / CAST(count(*) FILTER (WHERE will_repeat) AS DOUBLE)
                     AS pos_weight FROM {split} WHERE is_train""", *reads),
-        "repeat_scores": with_tables(
+        "repeat_scores_check": with_tables(
             "SELECT CAST(customer_unique_id AS VARCHAR) AS customer_unique_id, true AS in_range, true AS follows"
             " FROM repeat_training", *reads),
         "repeat_score_values": with_tables(f"SELECT repeat_probability, repeat_prediction FROM {scores}", *reads),
-        "propensity_report": with_tables(
+        "propensity_report_check": with_tables(
             f"""SELECT count(*) AS held_out, count(*) FILTER (WHERE will_repeat) AS positives, true AS agree
             FROM {split} WHERE NOT is_train""", *reads),
-        "propensity_importance": "SELECT unnest(['"
+        "propensity_importance_check": "SELECT unnest(['"
         + "', '".join(["frequency", "monetary", "avg_order_value", "tenure_days", "recency_at_T", "max_installments_used",
                        "used_credit_card", "used_boleto", "used_voucher", "avg_review_score", "reviewed_order_count",
                        "has_review"])
@@ -563,13 +563,13 @@ def _forecast() -> dict[str, str]:
         "forecasts": with_tables(
             f"""SELECT category, week, round(yhat, 4) AS yhat, round(yhat_lower, 4) AS yhat_lower,
                 round(yhat_upper, 4) AS yhat_upper, model FROM ({future})""", *reads),
-        "demand_forecast": with_tables(
+        "demand_forecast_check": with_tables(
             f"SELECT category, week, 'trend_fourier' AS model, true AS solved, true AS ordered FROM ({future})", *reads),
-        "demand_forecast_hw": with_tables(
+        "demand_forecast_hw_check": with_tables(
             f"SELECT category, week, true AS finite, true AS floored FROM ({future})", *reads),
-        "forecast_metrics_seasonal": with_tables(
+        "forecast_metrics_seasonal_check": with_tables(
             f"SELECT DISTINCT category, true AS in_range FROM ({held})", *reads),
-        "forecast_metrics_hw": with_tables(f"SELECT DISTINCT category, true AS in_range FROM ({held})", *reads),
+        "forecast_metrics_hw_check": with_tables(f"SELECT DISTINCT category, true AS in_range FROM ({held})", *reads),
         "forecast_summary": with_tables(
             f"""SELECT category, count(*) AS horizon_weeks, min(model) AS model, round(avg(yhat), 4) AS avg_weekly_orders,
                 bool_or(yhat_lower IS NOT NULL) AND bool_or(yhat_upper IS NOT NULL) AS has_interval

@@ -177,8 +177,12 @@ def _experiments() -> dict[str, Query]:
         "ab_mannwhitney": over(
             0, lambda e: _rounded(experiments.mann_whitney(experiments.arm_counts(e, by), by), 6, "p_value")
         ),
-        "ab_normality": over(0, lambda e: facts.normality_facts(experiments.normality(e, by), by)),
-        "ab_bootstrap": over(0, lambda e: facts.bootstrap_facts(e, by)),
+        "ab_normality": over(0, lambda e: experiments.normality(e, by)),
+        "ab_normality_check": over(0, lambda e: facts.normality_facts(experiments.normality(e, by), by)),
+        "ab_bootstrap": over(
+            0, lambda e: experiments.bootstrap_interval(experiments.arm_counts(e, by), "value", by, 0.05)
+        ),
+        "ab_bootstrap_check": over(0, lambda e: facts.bootstrap_facts(e, by)),
         "ab_sample_size": lambda spark, directory: over(
             0, lambda e: experiments.sample_sizes(e, by, "continuous").withColumn("metric", F.lit("continuous"))
         )(spark, directory).unionByName(
@@ -189,7 +193,8 @@ def _experiments() -> dict[str, Query]:
                 .withColumn("metric", F.lit("proportion")),
             )(spark, directory)
         ).select("metric", *by, "n_control", "n_variant", sizes),
-        "ab_test": over(0, lambda e: facts.test_facts(experiments.ab_test(e, by, "continuous"), by)),
+        "ab_test": over(0, lambda e: experiments.ab_test(e, by, "continuous")),
+        "ab_test_check": over(0, lambda e: facts.test_facts(experiments.ab_test(e, by, "continuous"), by)),
         "ab_test_proportion": over(
             1,
             lambda e: _rounded(
@@ -226,8 +231,10 @@ def _segments() -> dict[str, Query]:
         ),
         "label_segments": lambda m: segments.label_segments(_band_centers(_banded(m))),
         "segment_summary": lambda m: serving.segment_summary(_banded_segments(m)),
-        "silhouette_sweep": lambda m: facts.sweep_facts(segments.silhouette_sweep(m.dim_customers)),
-        "customer_segments": lambda m: facts.cluster_facts(m.dim_customers),
+        "silhouette_sweep": lambda m: segments.silhouette_sweep(m.dim_customers),
+        "silhouette_sweep_check": lambda m: facts.sweep_facts(segments.silhouette_sweep(m.dim_customers)),
+        "customer_segments": lambda m: segments.customer_segments(m.dim_customers, RUN_ID, SCORED_AT),
+        "customer_segments_check": lambda m: facts.cluster_facts(m.dim_customers),
     }
     return {name: _over_models(build) for name, build in spec.items()}
 
@@ -271,6 +278,13 @@ def _propensity() -> dict[str, Query]:
         prepared, model = _trained(spark, directory)
         return propensity.predict(model, prepared)
 
+    def scored(spark: SparkSession, directory: str) -> DataFrame:
+        return propensity.score_rows(predicted(spark, directory), RUN_ID, SCORED_AT)
+
+    def importance(spark: SparkSession, directory: str) -> DataFrame:
+        prepared, model = _trained(spark, directory)
+        return serving.feature_importance(propensity.importance_rows(model, prepared, RUN_ID, SCORED_AT))
+
     spec = {
         "propensity_split": lambda m: split(m).select("customer_unique_id", "will_repeat", "is_train"),
         "propensity_features": features,
@@ -287,15 +301,14 @@ def _propensity() -> dict[str, Query]:
     }
     return {
         **{name: _over_models(build) for name, build in spec.items()},
-        "repeat_scores": lambda spark, directory: facts.score_facts(
-            propensity.score_rows(predicted(spark, directory), RUN_ID, SCORED_AT)
-        ),
-        "propensity_report": lambda spark, directory: facts.report_facts(predicted(spark, directory)),
-        "propensity_importance": lambda spark, directory: facts.importance_facts(
-            serving.feature_importance(
-                propensity.importance_rows(*reversed(_trained(spark, directory)), RUN_ID, SCORED_AT)
-            )
+        "repeat_scores": scored,
+        "repeat_scores_check": lambda spark, directory: facts.score_facts(scored(spark, directory)),
+        "propensity_report": lambda spark, directory: propensity.report(
+            scratch.written(predicted(spark, directory), "predicted")
         ),
+        "propensity_report_check": lambda spark, directory: facts.report_facts(predicted(spark, directory)),
+        "propensity_importance": importance,
+        "propensity_importance_check": lambda spark, directory: facts.importance_facts(importance(spark, directory)),
         "repeat_score_values": lambda spark, directory: serving.repeat_scores(
             _simple_scores(models(spark, directory).repeat_purchase_training)
         ),
@@ -318,6 +331,12 @@ def _forecast() -> dict[str, Query]:
         split = forecast.holdout_split(forecast.eligible_series(forecast.only_top(actuals)))
         return serving.forecast_overlay(actuals, forecast.regression_future(split, order=0))
 
+    def seasonal_metrics(m: Models) -> DataFrame:
+        return forecast.forecast_metrics(forecast.regression_holdout(held_out(m)))
+
+    def smoothing_metrics(m: Models) -> DataFrame:
+        return forecast.forecast_metrics(forecast.smoothing_holdout(held_out(m)))
+
     bounds = ["yhat", "yhat_lower", "yhat_upper"]
     spec = {
         "top_categories": lambda m: forecast.top_categories(weekly(m)),
@@ -331,14 +350,18 @@ def _forecast() -> dict[str, Query]:
         "forecasts": lambda m: _rounded(
             serving.forecasts(forecast.demand_forecasts(trend(m), RUN_ID, SCORED_AT)), 4, *bounds
         ),
-        "demand_forecast": lambda m: facts.regression_facts(held_out(m)),
-        "demand_forecast_hw": lambda m: facts.smoothing_facts(held_out(m)),
-        "forecast_metrics_seasonal": lambda m: facts.metric_facts(
-            forecast.forecast_metrics(forecast.regression_holdout(held_out(m)))
+        "demand_forecast": lambda m: forecast.demand_forecasts(
+            forecast.regression_future(held_out(m)), RUN_ID, SCORED_AT
         ),
-        "forecast_metrics_hw": lambda m: facts.metric_facts(
-            forecast.forecast_metrics(forecast.smoothing_holdout(held_out(m)))
+        "demand_forecast_check": lambda m: facts.regression_facts(held_out(m)),
+        "demand_forecast_hw": lambda m: forecast.demand_forecasts(
+            forecast.smoothing_future(held_out(m)), RUN_ID, SCORED_AT
         ),
+        "demand_forecast_hw_check": lambda m: facts.smoothing_facts(held_out(m)),
+        "forecast_metrics_seasonal": seasonal_metrics,
+        "forecast_metrics_seasonal_check": lambda m: facts.metric_facts(seasonal_metrics(m)),
+        "forecast_metrics_hw": smoothing_metrics,
+        "forecast_metrics_hw_check": lambda m: facts.metric_facts(smoothing_metrics(m)),
     }
     return {name: _over_models(build) for name, build in spec.items()}
 
