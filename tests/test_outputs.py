@@ -1,11 +1,13 @@
 """Queries over fitted and resampled results return the results; what must hold for them is a query of its own."""
 
 import functools
+import inspect
 
 import pytest
 
 import __spark_entry__ as contract
-from tradewind.plans import propensity, segments
+from tradewind import queries as registry
+from tradewind.plans import facts, propensity, segments
 from tradewind.schemas import SCORED
 
 FITTED = {
@@ -37,3 +39,33 @@ def test_results_are_returned_and_checked(spark, small, quick, name):
     assert FITTED[name] <= set(df.columns) and df.first() is not None
     assert f"{name}_check" in contract.queries() and f"{name}_check" in contract.oracle_sql()
     assert name not in contract.oracle_sql()
+
+
+def test_propensity_is_fitted_over_many_tasks(spark, small, monkeypatch):
+    asked = []
+
+    def fit(prepared, *args, **settings):
+        bound = inspect.signature(real).bind(prepared, *args, **settings)
+        bound.apply_defaults()
+        asked.append(bound.arguments["partitions"])
+
+    real = propensity.fit
+    monkeypatch.setattr(propensity, "fit", fit)
+    monkeypatch.setattr(registry, "_MODELS", {})
+    registry._trained(spark, small)
+    assert asked == [propensity.PARTITIONS]
+
+
+@pytest.mark.parametrize("wrong", [False, True])
+def test_report_check_ranks_in_buckets_and_sees_a_wrong_figure(spark, monkeypatch, wrong):
+    rows = [(f"u{i}", i % 5 == 0, float(i % 3 == 0), (i * 7 % 40) / 40, i * 7 % 40 >= 20) for i in range(400)]
+    names = "customer_unique_id string, is_train boolean, label double, repeat_probability double, repeat_prediction boolean"
+    if wrong:
+        auc = facts.propensity.rank_auc
+        monkeypatch.setattr(propensity, "rank_auc", lambda *a: auc(*a).selectExpr("roc_auc + 0.01 as roc_auc"))
+    checked = facts.report_facts(spark.createDataFrame(rows, names))
+    held_out = [r for r in rows if not r[1]]
+    assert checked.first() == (len(held_out), sum(r[2] == 1 for r in held_out), not wrong)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "rank(" in line]
+    assert not windows, windows

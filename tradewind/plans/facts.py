@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.operators.ranking import global_rank
 from tradewind.plans import experiments, forecast, propensity, segments
 from tradewind.sources.scratch import written
 
@@ -91,22 +92,23 @@ def score_facts(scores: DataFrame) -> DataFrame:
 
 
 def report_facts(predicted: DataFrame) -> DataFrame:
-    """held_out, positives, and whether the report's figures follow from the stored scores by plain SQL."""
+    """held_out, positives, and whether the report's figures follow from the stored scores counted another way."""
     stored = written(predicted, "predicted")
-    name = f"held_out_{abs(hash(stored.inputFiles()[0]))}"
-    stored.filter("not is_train").createOrReplaceTempView(name)
-    plain = stored.sparkSession.sql(f"""
-        with ranked as (
-            select label, repeat_prediction as said, rank() over (order by repeat_probability)
-                + (count(*) over (partition by repeat_probability) - 1) / 2D as place from {name}),
-        cells as (
-            select count(*) as held_out, count_if(label = 1) as positives, count_if(label = 1 and said) as tp,
-                count_if(label = 0 and said) as fp, count_if((label = 1) = said) as hits,
-                sum(if(label = 1, place, 0)) as place_sum from ranked)
-        select held_out, positives, hits / held_out as s_accuracy, coalesce(try_divide(tp, tp + fp), 0) as s_precision,
-            coalesce(try_divide(tp, positives), 0) as s_recall,
-            try_divide(place_sum - positives * (positives + 1) / 2D, positives * (held_out - positives)) as s_auc
-        from cells""")
+    held_out = stored.filter("not is_train")
+    yes, said = F.col("label") == 1, F.col("repeat_prediction")
+    # Average places of tied scores, from places that are given out one by one.
+    placed = global_rank(held_out, "repeat_probability", "customer_unique_id", "place")
+    by_score = placed.groupBy("repeat_probability").agg(F.avg("place").alias("place"), F.count_if(yes).alias("found"))
+    places = by_score.agg(F.sum(F.col("place") * F.col("found")).alias("place_sum"))
+    cells = held_out.agg(
+        F.count("*").alias("held_out"), F.count_if(yes).alias("positives"), F.count_if(yes & said).alias("tp"),
+        F.count_if(~yes & said).alias("fp"), F.count_if(yes == said).alias("hits"),
+    )
+    plain = cells.crossJoin(F.broadcast(places)).selectExpr(  # one row
+        "held_out", "positives", "hits / held_out as s_accuracy", "coalesce(try_divide(tp, tp + fp), 0) as s_precision",
+        "coalesce(try_divide(tp, positives), 0) as s_recall",
+        "try_divide(place_sum - positives * (positives + 1) / 2D, positives * (held_out - positives)) as s_auc",
+    )
     pairs = {"accuracy": "s_accuracy", "precision": "s_precision", "recall": "s_recall", "roc_auc": "s_auc"}
     agree = F.lit(True)
     for ours, theirs in pairs.items():
