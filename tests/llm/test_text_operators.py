@@ -278,6 +278,24 @@ def test_secrets_of_messy_documents(spark, messy, nothing, field):
     assert secrets.redacted(messy).columns == messy.columns
 
 
+def test_field_is_trained_on_some_documents_of_any_table(spark):
+    assert secrets.sample_share(4, 5) == secrets.HASH_RANGE
+    assert all(0 < secrets.sample_share(10**n, 5_000) <= secrets.HASH_RANGE for n in range(20))
+    docs = spark.createDataFrame([(i, "password = abcdefghijklmnop") for i in range(3)], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="no document of 3"):
+        secrets.fitted(docs, sample_docs=0)
+
+
+def test_word_features_see_the_whole_word():
+    long = "x" * 2_000
+    ends = {"assigned": "=", "name": "password", "quoted": '"', "some_digits": "7", "at": "@b"}
+    names = {name: {secrets.FEATURES[i] for i in secrets.word_features(long + end)} for name, end in ends.items()}
+    assert all(name in found for name, found in names.items() if name != "assigned")
+    assert "ends_assigned" in names["assigned"]
+    stretch = secrets.training_segments(long + "password")[0]
+    assert secrets.FEATURE["name"] in stretch["features"][0]
+
+
 def test_merged_cuts(spark):
     spans = "array(named_struct('start', 1, 'end', 3), named_struct('start', 2, 'end', 4), named_struct('start', 6, 'end', 7))"
     df = spark.sql(f"select 'ab😀defgh' as text, {spans} as spans")

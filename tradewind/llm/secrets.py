@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ NAMES = ("password", "passwd", "secret", "token", "api")
 SAMPLE_DOCS = 5_000
 SEGMENTS = 2_000
 SEGMENT = 48
-#: Words further on than this are judged by their first characters alone.
-WORD_CHARS = 512
+#: Documents are drawn by their hash below this.
+HASH_RANGE = 1 << 62
 CACHE_WORDS = 1_000_000
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -83,7 +84,6 @@ _EDGE = "\"'`,;:.!?()[]{}<>*#$%&|"
 
 def word_features(word: str) -> tuple[int, ...]:
     """Numbers of the FEATURES that a word has."""
-    word = word[:WORD_CHARS]
     core = word.strip(_EDGE) or word
     n = len(core)
     found = [next((f"chars<{k}" for k in (3, 5, 8, 12, 16, 20, 32, 64) if n < k), "long")]
@@ -103,7 +103,7 @@ def word_features(word: str) -> tuple[int, ...]:
                 found.append("upper_digit")
             if upper and lower:
                 found.append("all_classes")
-        changes = len(_CHANGE.findall(core))
+        changes = sum(1 for _ in _CHANGE.finditer(core))
         found.append(next((f"changes<{k}" for k in (2, 5, 10) if changes < k), "changes"))
         for name, mark in (("at", "@"), ("slash", "/"), ("dot", "."), ("marks", "|")):
             if mark in core:
@@ -162,6 +162,9 @@ class Shapes:
             out[i] = number
         return out
 
+    def of_sets(self, found: list[list[int]]) -> np.ndarray:
+        return np.array([self.sets.setdefault(tuple(own), len(self.sets)) for own in found], np.int64)
+
     def matrix(self) -> np.ndarray:
         """A row of 0 and 1 for each set."""
         out = np.zeros((len(self.sets), len(FEATURES)))
@@ -225,9 +228,9 @@ def best_tags(scores: np.ndarray, field: Field) -> np.ndarray:
 
 
 def trained(segments: list[dict], rounds: int = 120, penalty: float = 0.02) -> Field:
-    """A field fitted to segments (words, tags, file) by gradient steps on the likelihood."""
+    """A field fitted to segments (features, tags, file) by gradient steps on the likelihood."""
     shapes = Shapes()
-    rows = [(shapes.numbers(s["words"]), np.array(s["tags"]), np.array(s["file"])) for s in segments if s["words"]]
+    rows = [(shapes.of_sets(s["features"]), np.array(s["tags"]), np.array(s["file"])) for s in segments if s["features"]]
     field = Field.untrained()
     if not rows or not any((t > 0).any() for _, t, _ in rows):
         return field
@@ -310,7 +313,8 @@ def training_segments(text: str) -> list[dict]:
         own = places[a : a + SEGMENT]
         out.append(
             {
-                "words": [text[i : min(j, i + WORD_CHARS)] for i, j in own],
+                "features": [list(word_features(text[i:j])) for i, j in own],
+                "place": xxhash.xxh64_intdigest(text[own[0][0] : own[-1][1]].encode()) - (1 << 63),
                 "tags": tags[a : a + SEGMENT].tolist(),
                 "file": file,
             }
@@ -318,23 +322,33 @@ def training_segments(text: str) -> list[dict]:
     return out
 
 
+def sample_share(n: int, sample_docs: int) -> int:
+    """Of HASH_RANGE, the part below which about sample_docs of n documents lie; never none."""
+    return HASH_RANGE if n <= sample_docs else max(1, HASH_RANGE * sample_docs // n)
+
+
 def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, segments: int = SEGMENTS) -> Field:
     """The field trained on a bounded sample; both bounds are given."""
     narrow = common.renamed_clear(docs, ("doc_id", "text"))
     n = narrow.select("doc_id").count()
-    share = int(min(1.0, sample_docs / max(1, n)) * (1 << 20))
-    chosen = narrow.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    chosen = narrow.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASH_RANGE)) < sample_share(n, sample_docs))
 
     def rows(batch: dict) -> dict:
         found = [s for text in batch["text"] for s in training_segments(text or "")]
-        return {**{k: [s[k] for s in found] for k in ("words", "tags", "file")}, "some": [max(s["tags"]) > 0 for s in found]}
+        return {
+            **{k: [s[k] for s in found] for k in ("features", "tags", "file", "place")},
+            "some": [max(s["tags"]) > 0 for s in found],
+        }
 
-    cut = common.arrow_map(chosen, rows, "words array<string>, tags array<int>, file array<double>, some boolean")
-    order = F.xxhash64("words")
+    cut = common.arrow_map(
+        chosen, rows, "features array<array<int>>, tags array<int>, file array<double>, place bigint, some boolean"
+    )
     own = [
-        cut.filter(F.col("some") == flag).orderBy(order, F.col("words")[0]).limit(segments // 2).collect()
+        cut.filter(F.col("some") == flag).orderBy("place", "features", "tags", "file").limit(segments // 2).collect()
         for flag in (True, False)
     ]
+    if n and not any(own) and chosen.isEmpty():
+        raise ValueError(f"no document of {n} was drawn to train on")  # else nothing would be tagged, unseen
     return trained([r.asDict() for part in own for r in part])
 
 
