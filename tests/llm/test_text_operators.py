@@ -81,6 +81,14 @@ def test_substring_dedup_gives_maximal_repeats_and_whole_columns(messy):
     assert clean.filter("doc_id is null").first()["text"] == PASSAGE
 
 
+def test_substring_dedup_of_an_id_with_two_texts(spark):
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, PASSAGE), (2, PASSAGE), (2, other)]  # only one text of 2 stands in 1
+    found = substring.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert result_of(found) == removed_by_hand(rows)
+    assert other in {r["kept"] for r in found.collect()}
+
+
 def test_substring_dedup_of_nothing(nothing):
     assert substring.without_repeats(nothing).count() == 0
 

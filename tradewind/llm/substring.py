@@ -349,8 +349,13 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     digests = some.select(F.col(at_id).cast("bigint").alias("id"), F.md5(at_text).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    copies = digests.join(least, "digest").filter("id > first").select(F.col("id").alias("copy_id")).distinct()
-    texts = spread.join(copies, F.col(at_id) == F.col("copy_id"), "left")
+    later = digests.join(least, "digest").filter("id > first")
+    copies = later.select(F.col("id").alias("copy_id"), F.col("digest").alias("copy_digest")).distinct()
+    # By id and digest: rows that repeat an id may have different texts. An equality would become a key of the
+    # join, for which all texts would be exchanged once more.
+    own_digest = F.md5(at_text)
+    equal = (own_digest <= F.col("copy_digest")) & (own_digest >= F.col("copy_digest"))
+    texts = spread.join(copies, (F.col(at_id) == F.col("copy_id")) & equal, "left").drop("copy_digest")
     alone = texts.filter("copy_id is null").withColumns({"id": F.col(at_id).cast("bigint"), "text": F.col(at_text)})
     every = some.select(F.col(at_id).cast("bigint").alias("id"), F.col(at_text).alias("text"))
     found = repeats(every, alone, hot).withColumnRenamed("id", "found_id")
