@@ -69,3 +69,7 @@ def test_report_check_ranks_in_buckets_and_sees_a_wrong_figure(spark, monkeypatc
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "rank(" in line]
     assert not windows, windows
+
+
+def test_sweep_restarts_as_often_as_the_final_fit():
+    assert inspect.signature(segments.silhouette_sweep).parameters["restarts"].default == segments.RESTARTS == 10
