@@ -14,6 +14,7 @@ from tradewind.operators.quantiles import quantiles
 from tradewind.operators.ranking import average_precision, rank_auc
 from tradewind.plans import experiments, explore, facts, forecast, propensity, quality, segments, serving
 from tradewind.plans.models import INTERMEDIATE, MARTS, STAGING, Models
+from tradewind.schemas import BRONZE
 from tradewind.session import tune
 from tradewind.sources import csv_files, scratch, star
 from tradewind.streaming import orders as stream
@@ -408,6 +409,27 @@ def _ingest_csv(spark: SparkSession, directory: str) -> DataFrame:
     return csv_files.good_rows(csv_files.read_csv(spark, path, "order_reviews"))
 
 
+def _ingest_csv_tables(spark: SparkSession, directory: str) -> DataFrame:
+    """All nine tables as CSV files, landed by the landing job: table_name, rows landed, rows rejected."""
+    shop = star.bronze(tune(spark), directory)
+    source, target = scratch.new_path(spark, "csv"), scratch.new_path(spark, "landed")
+    paths = {}
+    for name, table in shop.items():
+        kinds = dict(table.dtypes)
+
+        def text(c: str, kinds=kinds):
+            if c not in kinds:  # the star schema has no such column
+                return F.lit(None).cast("string").alias(c)
+            stamp = kinds[c].startswith("timestamp")
+            return (F.date_format(c, "yyyy-MM-dd HH:mm:ss") if stamp else F.col(c).cast("string")).alias(c)
+
+        columns = [text(c) for c in BRONZE[name].fieldNames()]
+        paths[name] = f"{source}/{name}"
+        table.select(*columns).write.option("header", True).option("quote", '"').option("escape", '"').csv(paths[name])
+    csv_files.land(spark, paths, target)
+    return csv_files.landed_counts(spark, target)
+
+
 def queries() -> dict[str, Query]:
     return {
         **_tables(),
@@ -422,4 +444,5 @@ def queries() -> dict[str, Query]:
         "stream_orders": _stream_orders,
         "replay_timestamps": _replay,
         "ingest_csv": _ingest_csv,
+        "ingest_csv_tables": _ingest_csv_tables,
     }

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.schemas import BRONZE
@@ -46,6 +48,17 @@ def land(spark: SparkSession, paths: Mapping[str, str], target: str) -> Bronze:
     return Bronze(**tables)
 
 
+def landed_counts(spark: SparkSession, target: str) -> DataFrame:
+    """table_name, rows, rejected: what land() wrote below `target`."""
+    counts = [
+        spark.read.schema(BRONZE[t]).parquet(f"{target}/{t}").agg(F.count("*").alias("rows"))
+        .crossJoin(spark.read.parquet(f"{target}/{t}_rejected").agg(F.count("*").alias("rejected")))  # one row each
+        .select(F.lit(t).alias("table_name"), "rows", "rejected")
+        for t in Bronze.names()
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
 def bronze_from(spark: SparkSession, target: str) -> Bronze:
     """The landed tables."""
     return Bronze(**{t: spark.read.schema(BRONZE[t]).parquet(f"{target}/{t}") for t in Bronze.names()})
