@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tradewind.llm import bpe, nearest, oracle, packing, quality, secrets, sharding, simhash, substring, token_files, warc
+from tradewind.llm import (
+    bpe, conversations, nearest, oracle, packing, quality, secrets, sharding, simhash, substring, token_files, vector_copies,
+    warc, whitening,
+)
 
 
 def queries() -> dict:
@@ -17,6 +20,9 @@ def queries() -> dict:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_token_files": token_files.op9_token_files,
         "op10_histogram_sort": sharding.op10_histogram_sort,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_sorted_projections": vector_copies.op13_sorted_projections,
     }
 
 
