@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import common, near_copies, packing, quality, secrets, substring
+from tradewind.llm import common, packing, quality, secrets, simhash, substring
 from tradewind.llm.tokens import BYTE_BPE, vocabulary_path
 from tradewind.sources import scratch
 
@@ -21,12 +21,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more), the document with the smallest id.
+    """Of each group of fingerprints linked at 2 or fewer differing bits (3-word shingles), the document with the smallest id.
 
     Documents without an id stay.
     """
     common.prepared(spark)
-    return near_copies.deduplicated(docs)
+    return simhash.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +49,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_good),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("substring dedup", cut_repeats),
     ("secret scans", hide_secrets),
     ("best-fit packing", pack),
 ]
 
-# Near-copy components, spans tagged by a model and tokenizers are beyond SQL; see tests/llm/test_pipeline.py.
+# Components of fingerprints, spans tagged by a model and tokenizers are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
