@@ -1,8 +1,8 @@
 """Token ids of whole texts from the tokenizers library, a piece between spaces at a time.
 
-Neither public tokenizer joins characters across a space inside a text, so a text is cut there, each
-distinct piece goes through the library once per Python worker, and a text's ids are those of its
-pieces. Workers keep at most CACHE_PIECES pieces of at most CACHE_CHARS characters; other pieces go
+Neither public tokenizer joins characters across a space inside a text, nor a letter or digit and a mark such as a
+comma, so a text is cut at its spaces and before marks that end a piece. Each distinct piece goes
+through the library once per Python worker, and a text's ids are those of its pieces. Workers keep at most CACHE_PIECES pieces of at most CACHE_CHARS characters; other pieces go
 through the library each time they occur, with the same result.
 """
 
@@ -20,17 +20,33 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ".,;:!?"
+#: Letters and digits that no normal form changes and that lower case leaves letters.
+PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÄÖÜÉÈÀÇÑßäöüéèêàâçñóíáúîôûïë")
+
+
+def without_marks(pieces: list[str]) -> list[str]:
+    """pieces, with the marks at the end of each as a piece of their own if a plain letter or digit comes before them."""
+    out = []
+    for piece in pieces:
+        if piece[-1] in MARKS:
+            stem = piece.rstrip(MARKS)
+            if stem and stem[-1] in PLAIN:
+                out.append(stem)
+                piece = piece[len(stem) :]
+        out.append(piece)
+    return out
 
 
 def byte_pieces(text: str) -> list[str]:
     """Pieces for byte-level BPE: cut before each single space between two visible characters."""
     first, *rest = _INNER_SPACE.split(text)
-    return [first, *[" " + x for x in rest]] if first else []
+    return without_marks([first, *[" " + x for x in rest]]) if first else []
 
 
 def word_pieces(text: str) -> list[str]:
     """Pieces for BPE with word ends, which drops white space: cut at spaces and line ends."""
-    return [x for x in text.replace("\n", " ").split(" ") if x]
+    return without_marks([x for x in text.replace("\n", " ").split(" ") if x])
 
 
 class Pieces:
@@ -78,6 +94,7 @@ def library(path: str) -> Pieces:
         tokenizer.no_padding()
         cut = word_pieces if os.path.basename(path) == WORD_BPE else byte_pieces
         _LOADED[path] = Pieces(
-            cut, lambda new: [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)]
+            # without offsets into the text, which nobody reads
+            cut, lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         )
     return _LOADED[path]
