@@ -7,11 +7,13 @@ therefore opens the row groups and pages that hold their ids, and one that asks
 does not touch the token column.
 
 Null texts are empty, and every document ends with the end id. Rows that share an id stand in the
-order of their texts. A null id stands first. An empty table gives an empty result.
+order of their texts. A null id stands first. A text of any length is encoded whole and lies in one row group. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,6 +29,8 @@ from tradewind.sources import scratch
 END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
+#: Text of a file, about: larger tables get more files.
+FILE_BYTES = 1 << 30
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -47,11 +51,18 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return common.arrow_map(docs, rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>")
 
 
-def write(docs: DataFrame, target: str, path: str, files: int) -> None:
-    """Encode docs and write files in ascending order of doc_id; column file numbers them in that order."""
+def write(docs: DataFrame, target: str, path: str, files: int | None = None) -> None:
+    """Encode docs and write files in ascending order of doc_id; column file numbers them in that order.
+
+    Unless files says how many, a file holds about FILE_BYTES of text, and every task writes one.
+    """
+    narrow = common.renamed_clear(docs, ("doc_id", "text"))
+    if files is None:
+        size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(common.shuffle_tasks(docs.sparkSession), math.ceil(size / FILE_BYTES))
+    # Rows of one id are told apart by their texts, so that a repeated id can be cut.
     ordered = (
-        common.renamed_clear(docs, ("doc_id", "text"))
-        .repartitionByRange(files, "doc_id")
+        narrow.repartitionByRange(files, "doc_id", F.substring("text", 1, 32))
         .sortWithinPartitions("doc_id", "text")
     )
     (
@@ -105,5 +116,5 @@ def checksums(spark: SparkSession, target: str) -> DataFrame:
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     target = scratch.new_path(spark, "token-files")
-    write(docs, target, vocabulary_path(WORD_BPE), common.shuffle_tasks(spark))
+    write(docs, target, vocabulary_path(WORD_BPE))
     return checksums(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
