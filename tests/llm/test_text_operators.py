@@ -286,12 +286,12 @@ def test_secrets_of_messy_documents(spark, messy, nothing, field):
     assert secrets.redacted(messy).columns == messy.columns
 
 
-def test_field_is_trained_on_some_documents_of_any_table(spark):
-    assert secrets.sample_share(4, 5) == secrets.HASH_RANGE
-    assert all(0 < secrets.sample_share(10**n, 5_000) <= secrets.HASH_RANGE for n in range(20))
-    docs = spark.createDataFrame([(i, "password = abcdefghijklmnop") for i in range(3)], "doc_id bigint, text string")
-    with pytest.raises(ValueError, match="no document of 3"):
-        secrets.fitted(docs, sample_docs=0)
+@pytest.mark.parametrize("ids", [1, 2, 6_000])
+def test_field_is_trained_on_some_documents_of_any_table(spark, ids):
+    rows = [(i % ids, f"password = abcdefghijklmnop{i % ids}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert secrets.drawn(docs, 50).count() == min(ids, 50)
+    assert sum(r["spans"] != [] for r in secrets.scanned(docs, secrets.fitted(docs)).collect()) == 6_000
 
 
 def test_word_features_see_the_whole_word():

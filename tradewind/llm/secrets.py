@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm import common
+from tradewind.sources import scratch
 
 # The base patterns, in the order in which spans that start together are listed.
 ASSIGN = re.compile(
@@ -44,8 +45,6 @@ NAMES = ("password", "passwd", "secret", "token", "api")
 SAMPLE_DOCS = 5_000
 SEGMENTS = 2_000
 SEGMENT = 48
-#: Documents are drawn by their hash below this.
-HASH_RANGE = 1 << 62
 CACHE_WORDS = 1_000_000
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -322,16 +321,15 @@ def training_segments(text: str) -> list[dict]:
     return out
 
 
-def sample_share(n: int, sample_docs: int) -> int:
-    """Of HASH_RANGE, the part below which about sample_docs of n documents lie; never none."""
-    return HASH_RANGE if n <= sample_docs else max(1, HASH_RANGE * sample_docs // n)
+def drawn(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """text of the at most sample_docs different rows (id and text) with the smallest hashes; of any table but an empty one, some."""
+    hashed = common.renamed_clear(docs, ("doc_id", "text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    smallest = hashed.select("row").distinct().orderBy("row").limit(sample_docs).agg(F.max("row")).first()[0]
+    return hashed.filter(F.col("row") <= F.lit(smallest)).dropDuplicates(["row"]).select("text")
 
 
 def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, segments: int = SEGMENTS) -> Field:
     """The field trained on a bounded sample; both bounds are given."""
-    narrow = common.renamed_clear(docs, ("doc_id", "text"))
-    n = narrow.select("doc_id").count()
-    chosen = narrow.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASH_RANGE)) < sample_share(n, sample_docs))
 
     def rows(batch: dict) -> dict:
         found = [s for text in batch["text"] for s in training_segments(text or "")]
@@ -340,15 +338,17 @@ def fitted(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, segments: int = SEGM
             "some": [max(s["tags"]) > 0 for s in found],
         }
 
-    cut = common.arrow_map(
-        chosen, rows, "features array<array<int>>, tags array<int>, file array<double>, place bigint, some boolean"
+    cut = scratch.written(
+        common.arrow_map(
+            drawn(docs, sample_docs), rows,
+            "features array<array<int>>, tags array<int>, file array<double>, place bigint, some boolean",
+        ),
+        "secret-segments",
     )
     own = [
         cut.filter(F.col("some") == flag).orderBy("place", "features", "tags", "file").limit(segments // 2).collect()
         for flag in (True, False)
     ]
-    if n and not any(own) and chosen.isEmpty():
-        raise ValueError(f"no document of {n} was drawn to train on")  # else nothing would be tagged, unseen
     return trained([r.asDict() for part in own for r in part])
 
 
