@@ -200,8 +200,9 @@ def close_links(values: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) ->
         raise ValueError("the join for full anchors is made for 2 bits or fewer")
     distinct = values.select("fingerprint").distinct()
     schema = T.StructType.fromDDL("anchor bigint, fingerprint bigint, home boolean")
-    sent = distinct.mapInArrow(_replicate(limit), schema)
     tasks = common.shuffle_tasks(values.sparkSession)
+    # A fingerprint is a few bytes but becomes 61 rows: adaptive execution would leave all of them to a few tasks.
+    sent = distinct.repartition(tasks, "fingerprint").mapInArrow(_replicate(limit), schema)
     sorted_ = sent.repartition(tasks, "anchor").sortWithinPartitions("anchor")
     pair = T.StructType.fromDDL("a bigint, b bigint")
     found = scratch.written(sorted_.mapInArrow(_compare(limit, bucket), pair).distinct(), "close-fingerprints")
