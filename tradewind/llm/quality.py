@@ -8,7 +8,8 @@ or of everything, gives the thresholds for groups with too few rows. The thresho
 to the documents, which are then kept or rejected.
 
 Nulls: a null text has no words; null languages and sources are groups of their own. A document
-whose id is null stays with its result. An empty table gives an empty result.
+whose id is null stays with its result. Rows that repeat an id are judged each by their own text. Texts of any length are counted
+whole, a text at a time. An empty table gives an empty result; extra columns are ignored, also those named like a measure.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MEASURES = {
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
+#: What tells a row of a table from others; equal rows have equal verdicts.
+ROW = ("doc_id", "lang", "source", "text_hash")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter")
 
 
@@ -79,16 +82,14 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 def _stat_rows(batch: dict) -> dict:
     stats = list(zip(*map(text_stats, batch["text"])))
-    return {**{k: batch[k] for k in ("doc_id", "lang", "source")}, **dict(zip(STATS, stats))}
+    return {**{k: batch[k] for k in ROW}, **dict(zip(STATS, stats))}
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and STATS of every document."""
-    narrow = common.renamed_clear(docs, ("doc_id", "lang", "source", "text"))
+    """ROW and STATS of every document."""
+    narrow = common.renamed_clear(docs, ("doc_id", "lang", "source", "text")).withColumn("text_hash", F.xxhash64("text"))
     kinds = dict(narrow.dtypes)
-    schema = ", ".join(
-        [f"{c} {kinds[c]}" for c in ("doc_id", "lang", "source")] + [f"{c} bigint" for c in STATS]
-    )
+    schema = ", ".join([f"{c} {kinds[c]}" for c in ROW] + [f"{c} bigint" for c in STATS])
     return common.arrow_map(narrow, _stat_rows, schema)
 
 
@@ -163,7 +164,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, STATS, base_failed and kept, one row per document."""
+    """ROW, STATS, base_failed and kept, one row per document."""
     stats = scratch.written(document_stats(docs), "quality-stats")
     limits = thresholds(sketches(stats)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = measured(stats).join(
@@ -175,7 +176,7 @@ def judged(docs: DataFrame) -> DataFrame:
     for m in MEASURES:
         fits &= F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     return joined.withColumn("base_failed", base_failed()).select(
-        "doc_id", "lang", "source", *STATS, "base_failed",
+        *ROW, *STATS, "base_failed",
         (~F.col("base_failed") & F.coalesce(fits, F.lit(False))).alias("kept"),
     )
 
@@ -183,10 +184,13 @@ def judged(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that judged() keeps, with their own columns.
 
-    The verdicts of repeated ids are joined by id alone: such rows stay if any of them is kept.
+    Verdicts are joined by id, language, source and a hash of the text, so rows that share an id are judged each.
     """
-    kept = judged(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = judged(docs).filter("kept").select(*[F.col(c).alias(f"__{c}") for c in ROW]).distinct()
+    same = F.xxhash64("text") == F.col("__text_hash")
+    for c in ("doc_id", "lang", "source"):
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return docs.join(kept, same, "left_semi")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
