@@ -113,8 +113,9 @@ def _serving() -> dict[str, str]:
                 GROUP BY 1) s ON s.cohort_month = c.cohort_month""",
             "customer_cohorts"),
         "cohort_pivot": with_tables(
-            f"""PIVOT (SELECT strftime(cohort_month, '%Y-%m') AS cohort, 'm' || months_since_first AS month,
-                retention_rate FROM ({retention})) ON month USING max(retention_rate) GROUP BY cohort""",
+            "SELECT strftime(cohort_month, '%Y-%m') AS cohort, "
+            + ", ".join(f"max(CASE WHEN months_since_first = {m} THEN retention_rate END) AS m{m}" for m in range(84))
+            + f" FROM ({retention}) GROUP BY 1",
             "customer_cohorts"),
         "top_customers": ranked("DESC NULLS LAST"),
         "bottom_customers": ranked("ASC NULLS FIRST"),

@@ -28,7 +28,7 @@ FITTED = {
 
 @pytest.fixture
 def quick(monkeypatch):
-    monkeypatch.setattr(propensity, "fit", functools.partial(propensity.fit, rounds=2, partitions=2))
+    monkeypatch.setattr(propensity, "fit", functools.partial(propensity.fit, rounds=2))
     monkeypatch.setattr(segments, "silhouette_sweep", functools.partial(segments.silhouette_sweep, ks=[3], restarts=1))
     monkeypatch.setattr(segments, "customer_segments", functools.partial(segments.customer_segments, restarts=1))
 
@@ -41,21 +41,6 @@ def test_results_are_returned_and_checked(spark, small, quick, name):
     assert name not in contract.oracle_sql()
 
 
-def test_propensity_is_fitted_over_many_tasks(spark, small, monkeypatch):
-    asked = []
-
-    def fit(prepared, *args, **settings):
-        bound = inspect.signature(real).bind(prepared, *args, **settings)
-        bound.apply_defaults()
-        asked.append(bound.arguments["partitions"])
-
-    real = propensity.fit
-    monkeypatch.setattr(propensity, "fit", fit)
-    monkeypatch.setattr(registry, "_MODELS", {})
-    registry._trained(spark, small)
-    assert asked == [propensity.PARTITIONS]
-
-
 @pytest.mark.parametrize("wrong", [False, True])
 def test_report_check_ranks_in_buckets_and_sees_a_wrong_figure(spark, monkeypatch, wrong):
     rows = [(f"u{i}", i % 5 == 0, float(i % 3 == 0), (i * 7 % 40) / 40, i * 7 % 40 >= 20) for i in range(400)]

@@ -71,13 +71,17 @@ def test_model_jobs_write_their_gold_tables(spark):
     class Trained:
         repeat_purchase_training = training(spark)
 
-    jobs.write_repeat_scores(Trained, run_id="r", rounds=3, partitions=1)
+    jobs.write_repeat_scores(Trained, run_id="r", rounds=3)
+    before = sorted(map(tuple, serving.repeat_scores(gold.customer_repeat_purchase_scores).collect()))
+    Trained.spark = spark
+    jobs.rescore_repeat(Trained, run_id="s")
+    assert sorted(map(tuple, serving.repeat_scores(gold.customer_repeat_purchase_scores).collect())) == before
     assert serving.repeat_scores(gold.customer_repeat_purchase_scores).count() == Trained.repeat_purchase_training.count()
     assert serving.feature_importance(gold.repeat_purchase_feature_importance).count() == 12
     jobs.write_forecasts(gold, run_id="r")  # the shop's series are too short: a table without rows
     assert serving.forecasts(gold.demand_forecasts).count() == 0
     assert not [t.name for t in spark.catalog.listTables("gold") if t.name.endswith("__staged")]
-    for table in ("customer_segments", "customer_repeat_purchase_scores", "repeat_purchase_feature_importance", "demand_forecasts"):
+    for table in ("customer_segments", "customer_repeat_purchase_scores", "repeat_purchase_feature_importance", "repeat_purchase_model", "demand_forecasts"):
         spark.sql(f"DROP TABLE gold.{table}")
 
 

@@ -28,16 +28,29 @@ def write_segments(
 
 def write_repeat_scores(
     gold: GoldTables, database: str = "gold", run_id: str | None = None, scored_at: datetime | None = None,
-    rounds: int = propensity.ROUNDS, partitions: int = propensity.PARTITIONS,
+    rounds: int = propensity.ROUNDS,
 ) -> str:
-    """customer_repeat_purchase_scores and repeat_purchase_feature_importance, from one training."""
+    """customer_repeat_purchase_scores, repeat_purchase_feature_importance and repeat_purchase_model, from one training."""
     run_id, scored_at = _run(run_id, scored_at)
     prepared = propensity.prepare(gold.repeat_purchase_training)
-    model = propensity.fit(prepared, rounds, partitions=partitions)
+    model = propensity.fit(prepared, rounds)
     scores = propensity.score_rows(propensity.predict(model, prepared), run_id, scored_at)
     sinks.write_scored(scores, "customer_repeat_purchase_scores", database)
     importance = propensity.importance_rows(model, prepared, run_id, scored_at)
     sinks.write_scored(importance, "repeat_purchase_feature_importance", database)
+    sinks.write_scored(propensity.model_rows(model, run_id, scored_at), "repeat_purchase_model", database)
+    return run_id
+
+
+def rescore_repeat(
+    gold: GoldTables, database: str = "gold", run_id: str | None = None, scored_at: datetime | None = None
+) -> str:
+    """customer_repeat_purchase_scores from the stored repeat_purchase_model, without training."""
+    run_id, scored_at = _run(run_id, scored_at)
+    model = gold.spark.table(f"{database}.repeat_purchase_model")
+    prepared = propensity.prepare(gold.repeat_purchase_training)
+    scores = propensity.score_rows(propensity.predict(model, prepared), run_id, scored_at)
+    sinks.write_scored(scores, "customer_repeat_purchase_scores", database)
     return run_id
 
 

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.scalars import keyed_order
+from tradewind.operators import boosting
 from tradewind.operators.quantiles import median
 from tradewind.operators.ranking import average_precision, global_rank, rank_auc
 from tradewind.plans.serving import confusion_metrics
-from tradewind.sources.scratch import new_path, written
+from tradewind.sources.scratch import written
 from tradewind.sources.sinks import fit_schema
 
 # The features in their order, and the columns that would leak the label.
@@ -38,9 +36,7 @@ SEED = 42
 TRAIN_PERCENT = 80
 ROUNDS = 200
 THRESHOLD = 0.5
-PARTITIONS = 64  # of the training rows; fixed, because rows are drawn per partition
-CHECKPOINT_EVERY = 20
-MODEL_VERSION = "gbt_v1"
+MODEL_VERSION = "boosted_v2"
 
 
 def split(training: DataFrame, seed: int = SEED) -> DataFrame:
@@ -112,37 +108,30 @@ def prepare(training: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def _vectors(prepared: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(prepared)
-
-
-def fit(prepared: DataFrame, rounds: int = ROUNDS, seed: int = SEED, partitions: int = PARTITIONS) -> GBTClassificationModel:
+def fit(
+    prepared: DataFrame, rounds: int = ROUNDS, seed: int = SEED, shard_rows: int = boosting.SHARD_ROWS,
+    most_shards: int = boosting.SHARDS,
+) -> DataFrame:
+    """Boosted trees over the training part, as a stored table of nodes."""
     check_trainable(prepared.select("label", *FEATURES))
-    trees = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=5, stepSize=0.05,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, checkpointInterval=CHECKPOINT_EVERY,
+    return boosting.fit(
+        prepared.filter("is_train"), FEATURES, "label", "weight", "customer_unique_id",
+        boosting.Settings(rounds=rounds, seed=seed), shard_rows, most_shards,
     )
-    context = prepared.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # else the lineage grows with every round
-        context.setCheckpointDir(new_path(prepared.sparkSession, "boosting"))
-    # MLlib draws its rows per partition: by a hash of the key into a fixed number, sorted, the model does
-    # not depend on how the table was laid out.
-    train = prepared.filter("is_train").repartition(partitions, "customer_unique_id").sortWithinPartitions(
-        "customer_unique_id"
-    )
-    return trees.fit(_vectors(train).select("features", "label", "weight"))
 
 
-def predict(model: GBTClassificationModel, prepared: DataFrame) -> DataFrame:
+def predict(model: DataFrame, prepared: DataFrame) -> DataFrame:
     """customer_unique_id, is_train, label, repeat_probability, repeat_prediction."""
-    probability = vector_to_array("probability")[1]
-    return (
-        model.transform(_vectors(prepared))
-        .withColumn("repeat_probability", probability)
-        .select(
-            "customer_unique_id", "is_train", "label", "repeat_probability",
-            (F.col("repeat_probability") >= THRESHOLD).alias("repeat_prediction"),
-        )
+    return boosting.scored(prepared, model, FEATURES, "repeat_probability").select(
+        "customer_unique_id", "is_train", "label", "repeat_probability",
+        (F.col("repeat_probability") >= THRESHOLD).alias("repeat_prediction"),
+    )
+
+
+def model_rows(model: DataFrame, run_id: str, scored_at: datetime) -> DataFrame:
+    """The model table: the nodes of all trees, from which predict() scores without training."""
+    return fit_schema(
+        model.withColumn("model_run_id", F.lit(run_id)).withColumn("scored_at", F.lit(scored_at)), "repeat_purchase_model"
     )
 
 
@@ -156,8 +145,8 @@ def score_rows(predicted: DataFrame, run_id: str, scored_at: datetime, version:
     )
 
 
-def importance_rows(model: GBTClassificationModel, like: DataFrame, run_id: str, scored_at: datetime) -> DataFrame:
-    values = [float(v) for v in model.featureImportances.toArray()]
+def importance_rows(model: DataFrame, like: DataFrame, run_id: str, scored_at: datetime) -> DataFrame:
+    values = boosting.importances(model, FEATURES)
     table = like.sparkSession.createDataFrame(list(zip(FEATURES, values)), "feature string, importance double")
     return fit_schema(
         table.withColumn("model_run_id", F.lit(run_id)).withColumn("scored_at", F.lit(scored_at)),

@@ -85,9 +85,16 @@ def retention_of_cohort(cohorts: DataFrame, orders: DataFrame, customers: DataFr
     )
 
 
-def cohort_pivot(retention: DataFrame) -> DataFrame:
-    """Cohort rows, one column m<offset> for every month offset in the data (a number a month on the driver)."""
+def cohort_pivot(retention: DataFrame, months: int | None = None) -> DataFrame:
+    """Cohort rows, one column m<offset> for every month offset in the data (a number a month on the driver).
+
+    With months, the columns are m0 to m<months - 1> whatever the data; an offset beyond them is an error.
+    """
     offsets = [r[0] for r in retention.select("months_since_first").distinct().orderBy("months_since_first").collect()]
+    if months is not None:
+        if offsets and offsets[-1] >= months:
+            raise ValueError(f"month offset {offsets[-1]} is beyond the {months} columns asked for")
+        offsets = range(months)
     return (
         retention.withColumn("cohort", F.date_format("cohort_month", "yyyy-MM"))
         .groupBy("cohort")

@@ -26,6 +26,9 @@ SCORED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 REPLAY_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
+#: Months that the star schema's orders span, so that the pivot's columns do not depend on the rows.
+PIVOT_MONTHS = 84
+
 _GRAPHS: dict = {}
 
 
@@ -74,7 +77,9 @@ def _serving() -> dict[str, Query]:
         "retention_of_cohort": lambda m: serving.retention_of_cohort(
             m.customer_cohorts, m.stg_orders, m.stg_customers
         ),
-        "cohort_pivot": lambda m: serving.cohort_pivot(scratch.written(serving.cohort_retention(m.customer_cohorts), "retention")),
+        "cohort_pivot": lambda m: serving.cohort_pivot(
+            scratch.written(serving.cohort_retention(m.customer_cohorts), "retention"), PIVOT_MONTHS
+        ),
         "top_customers": lambda m: serving.ranked_customers(m.dim_customers),
         "bottom_customers": lambda m: serving.ranked_customers(m.dim_customers, ascending=True),
         "ltv_percentiles": lambda m: _rounded(

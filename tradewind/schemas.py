@@ -68,6 +68,10 @@ SCORED = {
     "repeat_purchase_feature_importance": _struct(
         ("feature", _S), ("importance", _D), ("model_run_id", _S), ("scored_at", _TS),
     ),
+    "repeat_purchase_model": _struct(
+        ("shard", T.IntegerType()), ("round", T.IntegerType()), ("node", T.IntegerType()), ("feature", T.IntegerType()),
+        ("threshold", _D), ("value", _D), ("gain", _D), ("cover", _D), ("model_run_id", _S), ("scored_at", _TS),
+    ),
     "demand_forecasts": _struct(
         ("category", _S), ("week", T.DateType()), ("yhat", _D), ("yhat_lower", _D), ("yhat_upper", _D),
         ("model_run_id", _S), ("model", _S), ("scored_at", _TS),
