@@ -29,6 +29,19 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LARGE: list[dict] = []
+
+
+def claim(cache: dict) -> None:
+    """Called by an operator whose cache may take much of a worker: a worker keeps only the cache last claimed.
+
+    Workers live on from stage to stage, so the caches of a pipeline's stages would add up.
+    """
+    if _LARGE and _LARGE[0] is not cache:
+        _LARGE[0].clear()
+    _LARGE[:] = [cache]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -402,6 +402,7 @@ _SCANNERS: dict[str, Scanner] = {}
 
 
 def scanner(name: str, field: Field) -> Scanner:
+    common.claim(_SCANNERS)
     if name not in _SCANNERS:
         _SCANNERS.clear()
         _SCANNERS[name] = Scanner(field)

@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from tradewind.llm import common
+
 CACHE_PIECES = 1_000_000
 CACHE_CHARS = 64
 BYTE_BPE = "byte_bpe_50k.json"
@@ -84,7 +86,8 @@ def vocabulary_path(name: str) -> str:
 
 
 def library(path: str) -> Pieces:
-    """The worker's Pieces over the tokenizer file; the vocabulary is read once per worker."""
+    """The worker's Pieces over the tokenizer file; the vocabulary is read once per worker and operator."""
+    common.claim(_LOADED)
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
