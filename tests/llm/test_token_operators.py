@@ -32,6 +32,7 @@ def library():
 def test_pieces_give_the_ids_of_whole_texts(library, name):
     own = tokens.library(tokens.vocabulary_path(name))
     marked = [f"{a}{b}{c} {a}{b}" for a in ODD for b in (".", ",;", "!?.", ":)", "'s.", "x,") for c in ODD]
+    marked += [f"{a}{b}{c}" for a in ODD for b in ("\n", ".\n", " \n", "\n ", "\n\n", "\n'") for c in ODD]
     for text in odd_texts(3_000) + marked + [t or "" for _, t in TEXTS]:
         assert own.ids(text).tolist() == library[name].encode(text, add_special_tokens=False).ids, text
 

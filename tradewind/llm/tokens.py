@@ -22,6 +22,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_INNER_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 MARKS = ".,;:!?"
 #: Letters and digits that no normal form changes and that lower case leaves letters.
 PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÄÖÜÉÈÀÇÑßäöüéèêàâçñóíáúîôûïë")
@@ -41,9 +42,19 @@ def without_marks(pieces: list[str]) -> list[str]:
 
 
 def byte_pieces(text: str) -> list[str]:
-    """Pieces for byte-level BPE: cut before each single space between two visible characters."""
+    """Pieces for byte-level BPE: cut before each single space, and around each single line end, between visible characters."""
     first, *rest = _INNER_SPACE.split(text)
-    return without_marks([first, *[" " + x for x in rest]]) if first else []
+    if not first:
+        return []
+    found = [first, *[" " + x for x in rest]]
+    if "\n" in text:
+        found = [y for x in found for y in (_lines(x) if "\n" in x else (x,))]
+    return without_marks(found)
+
+
+def _lines(piece: str) -> list[str]:
+    first, *rest = _INNER_LINE.split(piece)
+    return [first, *[y for x in rest for y in ("\n", x)]]
 
 
 def word_pieces(text: str) -> list[str]:
