@@ -418,8 +418,12 @@ def _segments() -> dict[str, str]:
             f"SELECT customer_unique_id, r_score, f_score, m_score FROM ({scores})", "dim_customers"),
         "rfm_score": with_tables(f"SELECT customer_unique_id, rfm_score FROM ({banded})", "dim_customers"),
         "label_segments": with_tables(labels, "dim_customers"),
-        "silhouette_sweep_check": """SELECT CAST(k AS INTEGER) AS k, true AS converged, true AS in_range, true AS cost_falls
-            FROM range(3, 9) r(k)""",
+        "silhouette_sweep_check": with_tables(
+            """SELECT CAST(k AS INTEGER) AS k, n AS customers, round(v, 4) AS total_cost, true AS converged,
+                true AS in_range, true AS cost_falls
+            FROM range(3, 9) r(k) CROSS JOIN (SELECT count(*) AS n,
+                CAST(CAST(var_pop(recency_days) > 0 AS INTEGER) + CAST(var_pop(frequency) > 0 AS INTEGER)
+                    + CAST(var_pop(monetary) > 0 AS INTEGER) AS DOUBLE) AS v FROM dim_customers)""", "dim_customers"),
         "customer_segments_check": with_tables(
             """SELECT CAST(c AS INTEGER) AS cluster, (SELECT count(*) FROM dim_customers) AS customers,
                 true AS centre_is_mean, true AS all_nearest FROM range(5) r(c)""", "dim_customers"),

@@ -3,6 +3,9 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tradewind.operators import clusters, ranking, skew
@@ -149,29 +152,77 @@ def test_least_squares_per_group(spark):
         assert row.sigma == pytest.approx(float(np.sqrt(rest[0] / (len(part) - 3))), rel=1e-6)
 
 
-def test_kmeans_finds_planted_clusters_for_several_k(spark):
+def planted(spark, partitions=4):
     r = np.random.default_rng(0)
     points = np.concatenate([r.normal(c, 0.05, (60, 2)) for c in ([0, 0], [5, 5], [0, 5])])
     df = spark.createDataFrame(pd.DataFrame({"id": range(180), "x": points[:, 0], "y": points[:, 1]}))
-    points = clusters.with_vectors(df, ["x", "y"])
-    best = clusters.best_kmeans(points, [2, 3], restarts=4, seed=42)
-    cost = {k: model.summary.trainingCost for k, (model, _) in best.items()}
-    assert cost[3] < cost[2] and cost[3] < 2.0 and best[3][1]
-    labels = [r.prediction for r in best[3][0].transform(points).orderBy("id").collect()]
+    return df.repartition(partitions, "id")
+
+
+def test_kmeans_finds_planted_clusters_for_several_k(spark):
+    df = planted(spark)
+    best = clusters.best_kmeans(df, ["x", "y"], ["id"], [2, 3], restarts=4, seed=42)
+    assert best[3].cost < best[2].cost and best[3].cost < 2.0 and best[3].rested
+    assert best[3].sizes.tolist() == [60, 60, 60]
+    labels = [r.c for r in df.select("id", best[3].nearest(["x", "y"]).alias("c")).orderBy("id").collect()]
     assert [len(set(labels[i:i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(labels)) == 3
 
 
+def test_kmeans_does_not_depend_on_partitions(spark):
+    fits = [clusters.best_kmeans(planted(spark, n), ["x", "y"], ["id"], [3, 5], restarts=3, seed=7) for n in (1, 16)]
+    for k in (3, 5):
+        assert np.allclose(fits[0][k].centers, fits[1][k].centers, atol=1e-9)
+        assert fits[0][k].sizes.tolist() == fits[1][k].sizes.tolist()
+
+
+def test_kmeans_and_silhouettes_against_mllib(spark):
+    """A blurred cloud: costs at most 0.1 % above MLlib's best of as many starts, silhouettes the same number."""
+    r = np.random.default_rng(3)
+    frame = pd.DataFrame(r.normal(0, 1, (1500, 3)) + r.integers(0, 3, (1500, 1)), columns=["x", "y", "z"]).assign(id=range(1500))
+    df, names = spark.createDataFrame(frame).repartition(3, "id").cache(), ["x", "y", "z"]
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    best = clusters.best_kmeans(df, names, ["id"], [3, 6], restarts=5, seed=1)
+    scores = clusters.silhouettes(df, names, ["id"], best)
+    for k, fit in best.items():
+        theirs = min(KMeans(k=k, seed=s, maxIter=300).fit(vectors).summary.trainingCost for s in range(5))
+        assert fit.cost <= theirs * 1.001
+        assigned = vectors.withColumn("prediction", fit.nearest(names))
+        assert scores[k] == pytest.approx(ClusteringEvaluator(metricName="silhouette").evaluate(assigned), abs=1e-9)
+        gaps = ((frame[names].to_numpy()[:, None] - fit.centers) ** 2).sum(2).min(1).sum()
+        assert fit.cost == pytest.approx(gaps, rel=1e-9)
+
+
+def test_kmeans_passes_do_not_grow_with_the_models(spark, monkeypatch):
+    passes, fold = [], clusters._folded
+    monkeypatch.setattr(clusters, "_folded", lambda *a: passes.append(1) or fold(*a))
+    df = planted(spark)
+    counts = []
+    for restarts in (1, 12):
+        passes.clear()
+        clusters.best_kmeans(df, ["x", "y"], ["id"], [2, 3, 4], restarts=restarts, seed=5, max_passes=4)
+        counts.append(len(passes))
+    assert max(counts) <= 1 + clusters.START_ROUNDS + 1 + 4 + 1
+
+
 def test_kmeans_gives_a_rare_cluster_its_own_centre(spark):
-    near = spark.range(20_000).selectExpr("pmod(xxhash64(id), 1000) / 1000 as x", "pmod(xxhash64(id, 1), 1000) / 1000 as y")
-    rare = spark.createDataFrame([(500.0, 500.0), (500.1, 500.0)], "x double, y double")
-    points = clusters.with_vectors(near.unionByName(rare), ["x", "y"])
-    model, _ = clusters.best_kmeans(points, [2], restarts=2, seed=1)[2]
-    assert min(r["count"] for r in model.transform(points).groupBy("prediction").count().collect()) == 2
+    near = spark.range(20_000).selectExpr("id", "pmod(xxhash64(id), 1000) / 1000 as x", "pmod(xxhash64(id, 1), 1000) / 1000 as y")
+    rare = spark.createDataFrame([(-1, 500.0, 500.0), (-2, 500.1, 500.0)], "id long, x double, y double")
+    fit = clusters.best_kmeans(near.unionByName(rare), ["x", "y"], ["id"], [2], restarts=2, seed=1)[2]
+    assert min(fit.sizes) == 2
+
+
+def test_kmeans_of_few_or_no_rows(spark):
+    same = spark.range(50).selectExpr("id", "1.0D as x")
+    fit = clusters.best_kmeans(same, ["x"], ["id"], [3], restarts=2, seed=1)[3]
+    assert fit.centers.tolist() == [[1.0]] and fit.sizes.tolist() == [50] and fit.cost == 0 and fit.rested
+    assert np.isnan(clusters.silhouettes(same, ["x"], ["id"], {3: fit})[3])
+    assert clusters.best_kmeans(same.limit(0), ["x"], ["id"], [3], restarts=2, seed=1) == {}
+    assert clusters.silhouettes(same, ["x"], ["id"], {}) == {}
 
 
 def test_kmeans_says_when_it_was_cut_short(spark):
-    points = clusters.with_vectors(spark.range(500).selectExpr("pmod(xxhash64(id), 997) / 1.0 as x", "id / 1.0 as y"), ["x", "y"])
-    assert not clusters.best_kmeans(points, [8], restarts=1, seed=1, max_passes=1)[8][1]
+    df = spark.range(500).selectExpr("id", "pmod(xxhash64(id), 997) / 1.0D as x", "id / 1.0D as y")
+    assert not clusters.best_kmeans(df, ["x", "y"], ["id"], [8], restarts=1, seed=1, max_passes=1)[8].rested
 
 
 def qcut(values, bins):

@@ -48,10 +48,15 @@ def test_facts(result: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def sweep_facts(sweep: DataFrame) -> DataFrame:
-    """k, converged, in_range, cost_falls: more clusters never cost more."""
+    """k, customers, total_cost, converged, in_range, cost_falls.
+
+    total_cost is what lies within and between clusters, per customer: the variance of the features, if
+    the sizes, centres and costs belong together. More clusters never cost more.
+    """
     before = F.lag("cost").over(Window.orderBy("k"))  # a row per k
     return sweep.select(
-        "k", "converged", F.col("silhouette").between(-1, 1).alias("in_range"),
+        "k", "customers", F.round((F.col("cost") + F.col("between_cost")) / F.col("customers"), 4).alias("total_cost"),
+        "converged", F.col("silhouette").between(-1, 1).alias("in_range"),
         F.coalesce(F.col("cost") <= before * 1.0001, F.lit(True)).alias("cost_falls"),
     )
 

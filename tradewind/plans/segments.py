@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.operators.clusters import best_kmeans, with_vectors
+from tradewind.operators.clusters import best_kmeans, silhouettes
 from tradewind.operators.quantiles import quantiles
 from tradewind.operators.ranking import global_rank
 from tradewind.sources.scratch import written
@@ -105,15 +104,19 @@ Z_COLUMNS = [f"z_{c}" for c in FEATURES]
 
 
 def silhouette_sweep(customers: DataFrame, ks=K_RANGE, restarts: int = RESTARTS) -> DataFrame:
-    """k, silhouette (mean, squared Euclidean, every row), cost, and whether the fit came to rest."""
+    """Per k: silhouette (mean, squared Euclidean, every row), cost (squared distances within clusters), the same
+    between clusters (centres to the overall mean 0), rows, and whether the fit came to rest."""
     base = rfm_base(customers)
-    points = with_vectors(standardized(base, scaling(base)), Z_COLUMNS).select("features")
-    evaluator = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
+    points, key = standardized(base, scaling(base)), ["customer_unique_id"]
+    fits = best_kmeans(points, Z_COLUMNS, key, ks, restarts, SEED)
+    scores = silhouettes(points, Z_COLUMNS, key, fits)
     rows = [
-        (k, float(evaluator.evaluate(model.transform(points))), float(model.summary.trainingCost), rested)
-        for k, (model, rested) in sorted(best_kmeans(points, ks, restarts, SEED).items())
+        (k, float(scores[k]), fit.cost, float((fit.sizes * (fit.centers**2).sum(1)).sum()), int(fit.sizes.sum()), fit.rested)
+        for k, fit in sorted(fits.items())
     ]
-    return customers.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double, converged boolean")
+    return customers.sparkSession.createDataFrame(
+        rows, "k int, silhouette double, cost double, between_cost double, customers bigint, converged boolean"
+    )
 
 
 def centroids(centers, scale: dict[str, tuple[float, float]], like: DataFrame) -> DataFrame:
@@ -172,11 +175,11 @@ def clustered(customers: DataFrame, k: int = K_FINAL, restarts: int = RESTARTS):
     """(customers with scores, z columns and cluster; centroids; whether the fit came to rest)."""
     base = rfm_base(customers)
     scale = scaling(base)
-    points = with_vectors(standardized(rfm_scores(base), scale), Z_COLUMNS)
-    model, rested = best_kmeans(points, [k], restarts, SEED)[k]
-    centers = [list(c) for c in model.clusterCenters()]
-    assigned = model.setPredictionCol("cluster").transform(points).drop("features")
-    return assigned, centroids(centers, scale, base), rested
+    points = standardized(rfm_scores(base), scale)
+    fit = best_kmeans(points, Z_COLUMNS, ["customer_unique_id"], [k], restarts, SEED).get(k)
+    if fit is None:  # no customers
+        return points.withColumn("cluster", F.lit(None).cast("int")), centroids([], scale, base), True
+    return points.withColumn("cluster", fit.nearest(Z_COLUMNS)), centroids(fit.centers, scale, base), fit.rested
 
 
 def customer_segments(
