@@ -68,11 +68,6 @@ def keyed_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), key.cast("string")))
 
 
-def keyed_percent(seed: int, key: Column) -> Column:
-    """A repeatable whole number in 0..99."""
-    return F.conv(F.substring(keyed_order(seed, key), 1, 8), 16, 10).cast("bigint") % 100
-
-
 def even_ties(value: Column, digits: int) -> Column:
     """value, made ready for "%.<digits>f": the format rounds exact ties up, these go to the even digit."""
     tie = F.pmod(F.abs(value) * 2 ** (digits + 1), F.lit(2.0)) == 1  # an exact tie is an odd multiple of 2^-(digits+1)
