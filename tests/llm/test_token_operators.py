@@ -56,6 +56,19 @@ def test_new_words_of_a_text_share_one_library_text(library, monkeypatch):
     assert calls == [1, 1]
 
 
+def test_marks_after_known_words_need_no_library(library, monkeypatch):
+    monkeypatch.setattr(tokens, "_LOADED", {})
+    own = tokens.library(tokens.vocabulary_path(tokens.BYTE_BPE))
+    own.ids("a known word. 3, é?!")
+    own.ids("a known word 3 é word?!")
+    encode, calls = own.encode, []
+    monkeypatch.setattr(own, "encode", lambda new: calls.append(new) or encode(new))
+    monkeypatch.setattr(tokens, "CACHE_MARKS", 2)
+    for text in ("a known. word, known,", "known?! 3?! known. é.", "a known:; word:; 3... é::", "a known, word,"):
+        assert own.ids(text).tolist() == library[tokens.BYTE_BPE].encode(text, add_special_tokens=False).ids
+    assert not any("word" in x for new in calls for x in new) and len(own.marks) <= 2
+
+
 def test_white_space_and_cut_marks_keep_their_ids(library, monkeypatch):
     monkeypatch.setattr(tokens, "_LOADED", {})
     own = tokens.library(tokens.vocabulary_path(tokens.BYTE_BPE))

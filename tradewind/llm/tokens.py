@@ -19,6 +19,7 @@ from tradewind.llm import common
 
 CACHE_PIECES = 1_000_000
 CACHE_CHARS = 64
+CACHE_MARKS = 1_000
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
@@ -102,6 +103,7 @@ class BytePieces(Pieces):
         super().__init__(byte_pieces, lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
         self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         [[self.line]] = self.encode(["\n"])
+        self.marks: dict[str, bytes] = {}
 
     def packed(self, text: str | None) -> bytes:
         known = self.known
@@ -114,12 +116,30 @@ class BytePieces(Pieces):
             found = joined(found)
             ids = list(map(known.get, found))
             new = dict.fromkeys([x for x, y in zip(found, ids) if y is None])
-        own = self.packed_pieces(list(new))
+        own = self.with_known_stems(new)
+        own |= self.packed_pieces([x for x in new if x not in own])
         for piece, packed in own.items():
             if len(known) < CACHE_PIECES and len(piece) <= CACHE_CHARS and not piece[-1].isspace():
                 known[piece] = packed
         return b"".join([own[x] if y is None else y for x, y in zip(found, ids)])
 
+    def with_known_stems(self, new: Iterable[str]) -> dict[str, bytes]:
+        """The ids of those pieces that are a known piece and marks."""
+        out, known = {}, self.known
+        for piece in new:
+            if piece[-1] in MARKS and len(piece) <= CACHE_CHARS:
+                stem = piece.rstrip(MARKS)
+                if stem in known and stem[-1] in PLAIN:
+                    out[piece] = known[stem] + self.mark_ids(piece[len(stem) :])
+        return out
+
+    def mark_ids(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= CACHE_MARKS:
+                self.marks.clear()
+            self.marks |= self.packed_pieces([marks])
+        return self.marks[marks]
+
     def packed_pieces(self, new: list[str]) -> dict[str, bytes]:
         """The ids of each piece. Simple pieces are lines of one text, which costs the library less than many texts."""
         simple = [x for x in new if _SIMPLE.fullmatch(x)]
