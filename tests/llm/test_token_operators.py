@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -69,6 +70,47 @@ def test_marks_after_known_words_need_no_library(library, monkeypatch):
     assert not any("word" in x for new in calls for x in new) and len(own.marks) <= 2
 
 
+def test_words_of_many_texts_share_library_texts(library, monkeypatch):
+    monkeypatch.setattr(tokens, "_LOADED", {})
+    own = tokens.library(tokens.vocabulary_path(tokens.WORD_BPE))
+    encode, calls = own.encode, []
+    monkeypatch.setattr(own, "encode", lambda new: calls.append(len(new)) or encode(new))
+    text = "Unseen Words, unseen wörds; ÊTRE être, words and\nmore (words words!? words."
+    assert own.ids(text).tolist() == library[tokens.WORD_BPE].encode(text, add_special_tokens=False).ids
+    assert calls == [1, 6]  # the words as one text; (words and the five kinds of marks, no marks among them
+    text = "words! more, unseen. UNSEEN! (words"
+    assert own.ids(text).tolist() == library[tokens.WORD_BPE].encode(text, add_special_tokens=False).ids
+    assert calls == [1, 6, 1]  # for the new mark alone
+
+
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+@pytest.mark.parametrize("full", [False, True])
+def test_ids_of_many_texts_at_once(library, monkeypatch, name, full):
+    monkeypatch.setattr(tokens, "_LOADED", {})
+    if full:
+        monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+        monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    own = tokens.library(tokens.vocabulary_path(name))
+    # capitals without a composed form of their own, marks that are a part of an added token, and long words
+    texts = ["J\u030c j\u030c I\u0307 ÿ\u0301 \u0301a A\u030a", "a<|endoftext|>. a<|endoftext| <|ENDOFTEXT|> |>a>.", "ab" * 300 + "., x'.s' don't' It's!"]
+    texts = pa.array([None, "", *texts, *odd_texts(2_000), *[t for _, t in TEXTS], None])
+    for part in (texts, texts[3:1_000], texts[:0], texts):
+        at, ids = own.many(part)
+        wanted = [library[name].encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == wanted
+    assert not full or len(own.known) <= 3
+
+
+def test_every_plain_letter_stays_one_word(library):
+    letters = [c for c in map(chr, range(256)) if tokens._WORD.fullmatch(c)]
+    assert len(letters) == 52 + 62
+    own = tokens.library(tokens.vocabulary_path(tokens.WORD_BPE))
+    texts = [a + b + c + m for a in letters for b, c, m in (("", "", ""), ("s", "é", ""), ("Ê", "T", "?"), ("ß", a, "'"))]
+    at, ids = own.many(pa.array(texts))
+    for text, a, b in zip(texts, at[:-1], at[1:]):
+        assert ids[a:b].tolist() == library[tokens.WORD_BPE].encode(text, add_special_tokens=False).ids, text
+
+
 def test_white_space_and_cut_marks_keep_their_ids(library, monkeypatch):
     monkeypatch.setattr(tokens, "_LOADED", {})
     own = tokens.library(tokens.vocabulary_path(tokens.BYTE_BPE))
@@ -128,6 +170,22 @@ def test_token_files_in_order(spark, messy, nothing, library, tmp_path):
     assert token_files.checksums(spark, empty).count() == 0
 
 
+def test_slices_hold_every_row_once(spark, monkeypatch, messy, library):
+    texts = [None, "", "a" * 7, "b" * 25, "", "c" * 3, None, "d" * 10, "e", "f"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(10), "text": texts})
+    for size in (1, 10, 1_000):
+        monkeypatch.setattr(token_files, "SLICE", size)
+        parts = list(token_files.slices(batch))
+        assert [x for p in parts for x in p.to_pydict()["text"]] == texts
+        assert all(sum(len(x or "") for x in p.to_pydict()["text"][1:]) <= size for p in parts)
+    assert len(parts) == 1 and not list(token_files.slices(batch[:0]))
+    path, theirs = tokens.vocabulary_path(tokens.WORD_BPE), library[tokens.WORD_BPE]
+    rows = token_files.encoded(messy.select("doc_id", "text"), path).collect()
+    wanted = [(i, theirs.encode(t or "", add_special_tokens=False).ids + [token_files.END_ID]) for i, t in TEXTS]
+    assert sorted([(r["doc_id"], list(r["ids"])) for r in rows], key=repr) == sorted(wanted, key=repr)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
 # --- packing ------------------------------------------------------------------------------------------------
 
 

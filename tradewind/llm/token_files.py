@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,26 +31,36 @@ from tradewind.sources import scratch
 END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
+#: Bytes of text whose distinct words are looked up together.
+SLICE = 2 << 20
 #: Text of a file, about: larger tables get more files.
 FILE_BYTES = 1 << 30
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens, ids of docs in the partitions and order they have."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def rows(batch: dict) -> dict:
-        pieces = library(path)
-        ids = [np.frombuffer(pieces.packed(text) + end, "<i4") for text in batch["text"]]
-        lengths = np.array([len(x) for x in ids])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        return {
-            "doc_id": batch["doc_id"],
-            "n_tokens": lengths,
-            "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
-        }
-
-    return common.arrow_map(docs, rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>")
+    schema = T.StructType.fromDDL(f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>")
+    target = common.to_arrow(schema)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                starts, ids = library(path).many(part.column("text"))
+                offsets = starts + np.arange(len(starts), dtype=np.int32)
+                ended = np.insert(ids, starts[1:], end_id).view("<i4")
+                columns = (part.column("doc_id"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(offsets, ended))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, target)], schema=target)
+
+    return docs.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE bytes of text or less, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = (np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 def write(docs: DataFrame, target: str, path: str, files: int | None = None) -> None:

@@ -3,8 +3,9 @@
 Neither public tokenizer joins characters across a space inside a text, so a text is cut at its spaces. BPE with word
 ends also keeps a letter or digit and a mark such as a comma apart, so its pieces are cut before marks that end them.
 Each distinct piece goes through the library once per Python worker, and a text's ids are those of its pieces. The new
-pieces of a text for byte-level BPE share one call of the library. Workers keep at most CACHE_PIECES pieces of at most
-CACHE_CHARS characters; other pieces go through the library each time they occur, with the same result.
+pieces of a text for byte-level BPE share one call of the library. For BPE with word ends, Arrow cuts many texts at once,
+each of their distinct pieces is looked up once, and new words share texts. Workers keep at most CACHE_PIECES (there
+CACHE_WORDS) pieces of at most CACHE_CHARS characters; others go through the library each time, with the same result.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tradewind.llm import common
 
 CACHE_PIECES = 1_000_000
+CACHE_WORDS = 500_000
 CACHE_CHARS = 64
 CACHE_MARKS = 1_000
 BYTE_BPE = "byte_bpe_50k.json"
@@ -32,6 +36,14 @@ MARKS = ".,;:!?"
 #: Letters and digits that no normal form changes and that lower case leaves letters.
 PLAIN = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÄÖÜÉÈÀÇÑßäöüéèêàâçñóíáúîôûïë")
 
+#: Letters of words that no normal form changes and whose lower case is one such letter.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(f"[{_LETTERS}]+")
+#: A word and marks at its end, which are words of their own. Without <, | and >, no mark belongs to an added token.
+_WORD_AND_MARKS = f"^(?P<word>[{_LETTERS}]+)(?P<marks>[-.,;:!?#*$%&()\"'/]*)$"
+#: Words that go through the library in one text, and other pieces in one call.
+WORDS_OF_A_TEXT, PIECES_OF_A_CALL = 400, 64
+
 
 def without_marks(pieces: list[str]) -> list[str]:
     """pieces, with the marks at the end of each as a piece of their own if a plain letter or digit comes before them."""
@@ -95,6 +107,72 @@ class Pieces:
                 own[piece] = packed
         return b"".join([known[x] if x in known else own[x] for x in found])
 
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text start, with the end of the last, and the ids of all texts."""
+        found = [self.packed(x) for x in texts.to_pylist()]
+        return starts(found), np.frombuffer(b"".join(found), "<u4")
+
+
+def starts(packed: list[bytes]) -> np.ndarray:
+    """Where the ids of each start, with the end of the last."""
+    out = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4, out=out[1:])
+    return out
+
+
+class WordPieces(Pieces):
+    """Pieces for BPE with word ends. Words are known in lower case and without the marks at their ends."""
+
+    def __init__(self, tokenizer):
+        # without offsets into the text, which nobody reads
+        super().__init__(word_pieces, lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        ids = tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for token, i in ids.items() if token.endswith(tokenizer.model.end_of_word_suffix)]] = True
+
+    def packed(self, text: str | None) -> bytes:
+        return self.many(pa.array([text], pa.string()))[1].tobytes()
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        found = cut.values.dictionary_encode()
+        parts = pc.extract_regex(found.dictionary, _WORD_AND_MARKS)
+        words = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, "word")), found.dictionary).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
+        distinct = [x for part in (words, marks) for x in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        own = self.packed_pieces(distinct)
+        ids = pa.ListArray.from_arrays(starts(own), np.frombuffer(b"".join(own), "<u4"))
+        # the ids of each distinct piece: those of its word, then those of its marks
+        pairs = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)], axis=1)
+        halves = ids.take(pa.array(pairs.ravel()))
+        pieces = pa.ListArray.from_arrays(halves.offsets.to_numpy()[::2], halves.values)
+        taken = pieces.take(found.indices)
+        return taken.offsets.to_numpy()[cut.offsets.to_numpy()], taken.values.to_numpy()
+
+    def packed_pieces(self, pieces: list[str]) -> list[bytes]:
+        known = self.known
+        own = self.encoded_pieces(list(dict.fromkeys([x for x in pieces if x not in known])))
+        for piece, packed in own.items():
+            if len(known) < CACHE_WORDS and len(piece) <= CACHE_CHARS:
+                known[piece] = packed
+        return [own[x] if x in own else known[x] for x in pieces]
+
+    def encoded_pieces(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each piece. Words share texts, where only the last id of a word is one that ends words."""
+        words = [x for x in new if _WORD.fullmatch(x)]
+        out = {}
+        if words:
+            texts = [" ".join(words[i : i + WORDS_OF_A_TEXT]) for i in range(0, len(words), WORDS_OF_A_TEXT)]
+            ids = np.concatenate([np.array(x, "<u4") for x in self.encode(texts)])
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            whole = ids.tobytes()
+            out = {x: whole[a:b] for x, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+        rest = [x for x in new if x not in out]
+        for i in range(0, len(rest), PIECES_OF_A_CALL):
+            call = rest[i : i + PIECES_OF_A_CALL]
+            out |= {x: np.array(ids, "<u4").tobytes() for x, ids in zip(call, self.encode(call))}
+        return out
+
 
 class BytePieces(Pieces):
     """Pieces for byte-level BPE. No known piece ends with white space, so a text of known pieces is cut rightly."""
@@ -176,11 +254,5 @@ def library(path: str) -> Pieces:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        if os.path.basename(path) == WORD_BPE:
-            # without offsets into the text, which nobody reads
-            _LOADED[path] = Pieces(
-                word_pieces, lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            )
-        else:
-            _LOADED[path] = BytePieces(tokenizer)
+        _LOADED[path] = (WordPieces if os.path.basename(path) == WORD_BPE else BytePieces)(tokenizer)
     return _LOADED[path]
