@@ -32,7 +32,7 @@ END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 #: Bytes of text whose distinct words are looked up together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Text of a file, about: larger tables get more files.
 FILE_BYTES = 1 << 30
 

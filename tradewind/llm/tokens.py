@@ -151,11 +151,12 @@ class WordPieces(Pieces):
 
     def packed_pieces(self, pieces: list[str]) -> list[bytes]:
         known = self.known
-        own = self.encoded_pieces(list(dict.fromkeys([x for x in pieces if x not in known])))
+        ids = list(map(known.get, pieces))
+        own = self.encoded_pieces(list(dict.fromkeys([x for x, y in zip(pieces, ids) if y is None])))
         for piece, packed in own.items():
             if len(known) < CACHE_WORDS and len(piece) <= CACHE_CHARS:
                 known[piece] = packed
-        return [own[x] if x in own else known[x] for x in pieces]
+        return [own[x] if y is None else y for x, y in zip(pieces, ids)]
 
     def encoded_pieces(self, new: list[str]) -> dict[str, bytes]:
         """The ids of each piece. Words share texts, where only the last id of a word is one that ends words."""
